@@ -47,10 +47,10 @@ def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc_id, lang, source, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words) of each row, from its whole text."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"), text.alias("text"))
-    words = bound(F.filter(F.split("text", SPACE), lambda w: w != ""), lambda w: F.struct(
-        F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda s, x: s + F.length(x)).alias("word_chars"), _repeated(w).cast("long").alias("n_repeat_words")))
+    words = bound(F.array_remove(F.split("text", SPACE), ""), lambda w: F.struct(
+        F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _repeated(w).cast("long").alias("n_repeat_words")))
     lines = bound(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), lambda x: F.size(x) - F.size(F.array_distinct(x)))
-    symbols = F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))
+    symbols = F.size(F.split("text", r"[#*$%&|<>]")) - 1
     return rows.select("doc_id", "lang", "source", words.alias("w"), symbols.cast("long").alias("n_symbols"), lines.cast("long").alias("n_dup_lines")).select(
         "doc_id", "lang", "source", "w.n_words", "w.word_chars", "n_symbols", "n_dup_lines", "w.n_repeat_words")
 
