@@ -10,12 +10,14 @@ from .common import ascii_lower, bound, documents
 WINDOW = 10
 #: Windows of a benchmark that are broadcast at most (about 200 bytes each); a larger set is joined by shuffle.
 BROADCAST_WINDOWS = 200_000
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
-    """Words of lower-cased text; none for null."""
-    return F.filter(F.split(ascii_lower(F.coalesce(text, F.lit(""))), SEPARATORS), lambda w: w != "")
+    """Words of the text in lower case; none for null. Capitals are word characters, so each word is lowered after the cut."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), SEPARATORS), "")
+    # lower() is much faster than translate(), and right for a word without other letters
+    return F.transform(words, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(ascii_lower(w)))
 
 
 def _window_hashes(words: Column, length: int) -> Column:
@@ -52,30 +54,32 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     rows = documents(docs, id_col, text_col).select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
 
     broadcast = sum(sizes.values()) <= BROADCAST_WINDOWS
-    fields = ["h", "pos", "len"] if broadcast else ["h", "pos", "len", "check"]
-
-    def places_of(words: Column, n: int) -> Column:
-        at = lambda h, i: [h.alias("h"), (i + 1).alias("pos"), F.lit(n).alias("len")]
-        if broadcast:
-            return F.transform(_window_hashes(words, n), lambda h, i: F.struct(*at(h, i)))
-        return F.transform(_window_hashes(words, n), lambda h, i: F.struct(*at(h, i), F.xxhash64(F.lit(n), F.slice(words, i + 1, n)).alias("check")))
-
-    def places(words: Column) -> Column:  # the marker, then every window of each length
-        zero = {"h": F.lit(None).cast("long"), "pos": F.lit(0), "len": F.lit(0), "check": F.lit(0).cast("long")}
-        none = F.filter(F.array(F.struct(*(zero[f].alias(f) for f in fields))), lambda x: F.lit(False))
-        marker = F.array(F.struct(*(zero[f].alias(f) for f in fields)))
-        return F.concat(marker, *(F.when(F.size(words) >= n, places_of(words, n)).otherwise(none) for n in sorted(sizes)))
-
-    spread = rows.select("row", "doc_id", "words", F.explode(bound(F.col("words"), places)).alias("at"))
-    same = (F.col("at.h") == F.col("h")) & (F.col("at.len") == F.col("n"))
+    lengths = sorted(sizes)
+
+    def hashes(words: Column, n: int) -> Column:
+        return F.when(F.size(words) >= n, _window_hashes(words, n)).otherwise(F.array().cast("array<bigint>"))
+
     if broadcast:
-        windows, same = F.broadcast(windows), same & (F.slice("words", F.greatest("at.pos", F.lit(1)), F.col("at.len")) == F.col("w"))
-    else:  # a shuffled window takes a second hash along, not its words
-        windows, same = windows.select("h", "n", "items", F.xxhash64("n", "w").alias("sum")), same & (F.col("at.check") == F.col("sum"))
-        spread = spread.select("row", "doc_id", F.size("words").alias("size"), "at")
-    n_words = F.size("words") if broadcast else F.col("size")
-    found = spread.join(windows, same, "left").where("at.pos = 0 or h is not null").select(
-        "row", "doc_id", F.when(F.col("at.pos") == 0, n_words).alias("n_words"), F.when(F.col("at.pos") > 0, F.struct("at.pos", "at.len")).alias("hit"), "items")
+        # the marker, then the windows of each length in turn; a place in that array tells length and position
+        spread = rows.select("row", "doc_id", "words", F.posexplode(bound(F.col("words"), lambda w: F.concat(F.array(F.lit(None).cast("long")), *(hashes(w, n) for n in lengths)))).alias("at", "code"))
+        pos, length, start = F.lit(0), F.lit(1), F.lit(1)
+        for n in lengths:
+            pos, length = F.when(F.col("at") >= start, F.col("at") - start + 1).otherwise(pos), F.when(F.col("at") >= start, n).otherwise(length)
+            start = start + F.greatest(F.size("words") - n + 1, F.lit(0))
+        same = (F.col("code") == F.col("h")) & (length == F.col("n")) & (F.slice("words", F.greatest(pos, F.lit(1)), length) == F.col("w"))
+        found = spread.join(F.broadcast(windows), same, "left").where("at = 0 or h is not null").select(
+            "row", "doc_id", F.when(F.col("at") == 0, F.size("words")).alias("n_words"), F.when(F.col("at") > 0, F.struct(pos.alias("pos"), length.alias("len"))).alias("hit"), "items")
+    else:
+        # a shuffled window takes a second hash along, not its words
+        def places_of(words: Column, n: int) -> Column:
+            return F.transform(hashes(words, n), lambda h, i: F.struct(h.alias("h"), (i + 1).alias("pos"), F.lit(n).alias("len"), F.xxhash64(F.lit(n), F.slice(words, i + 1, n)).alias("check")))
+
+        marker = F.array(F.struct(F.lit(None).cast("long").alias("h"), F.lit(0).alias("pos"), F.lit(0).alias("len"), F.lit(0).cast("long").alias("check")))
+        spread = rows.select("row", "doc_id", F.size("words").alias("size"), F.explode(bound(F.col("words"), lambda w: F.concat(marker, *(places_of(w, n) for n in lengths)))).alias("at"))
+        windows = windows.select("h", "n", "items", F.xxhash64("n", "w").alias("sum"))
+        same = (F.col("at.h") == F.col("h")) & (F.col("at.len") == F.col("n")) & (F.col("at.check") == F.col("sum"))
+        found = spread.join(windows, same, "left").where("at.pos = 0 or h is not null").select(
+            "row", "doc_id", F.when(F.col("at.pos") == 0, F.col("size")).alias("n_words"), F.when(F.col("at.pos") > 0, F.struct("at.pos", "at.len")).alias("hit"), "items")
     each = found.groupBy("row").agg(F.first("doc_id", ignorenulls=True).alias("doc_id"), F.max("n_words").alias("n_words"), F.collect_set("hit").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     hit_words = F.size(F.array_distinct(F.flatten(F.transform("hits", lambda x: F.sequence(x["pos"], x["pos"] + x["len"] - 1)))))
     return each.select(
