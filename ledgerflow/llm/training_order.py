@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import array
 import base64
 import math
 from collections.abc import Iterator
@@ -82,7 +83,8 @@ def _sequencer(name: str, seq_len: int, base: dict[int, int], counts: dict[int,
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
                 if not (tokens := encode(text.as_py() or "")):
                     continue
-                packed = np.array([*tokens, END_OF_TEXT], "<u2").tobytes()
+                tokens.append(END_OF_TEXT)
+                packed = np.frombuffer(array.array("H", tokens), np.uint16).astype("<u2").tobytes()
                 for k in range(0, len(packed), 2 * seq_len):
                     piece = packed[k:k + 2 * seq_len]
                     for x, y in zip(rows, (doc_id, k // (2 * seq_len), len(piece) // 2, piece), strict=True):
@@ -156,9 +158,11 @@ def _parser(record: int, rows_per_shard: int, start: int):
                     part = data[at:at + 4096]
                     field = lambda lo, hi, kind, part=part: np.ascontiguousarray(part[:, lo:hi]).view(kind)[:, 0]
                     slot, doc, null, n = field(0, 8, ">i8"), field(8, 16, ">i8"), field(24, 28, ">i4"), field(20, 24, ">i4")
-                    tokens = [p[HEADER_BYTES:HEADER_BYTES + 2 * k].tobytes() for p, k in zip(part, n.tolist(), strict=True)]
+                    used = np.arange(record - 1 - HEADER_BYTES) < 2 * n[:, None]
+                    ends = np.concatenate([[0], np.cumsum(2 * n)]).astype(np.int32)
+                    tokens = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(ends), pa.py_buffer(part[:, HEADER_BYTES:-1][used])])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(len(part), shard, np.int32)), pa.array(slot.astype(np.int64)), pa.array(doc.astype(np.int64), mask=null == 1), pa.array(field(16, 20, ">i4").astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(tokens, pa.binary())],
+                        [pa.array(np.full(len(part), shard, np.int32)), pa.array(slot.astype(np.int64)), pa.array(doc.astype(np.int64), mask=null == 1), pa.array(field(16, 20, ">i4").astype(np.int32)), pa.array(n.astype(np.int32)), tokens],
                         ["shard_id", "slot", "doc_id", "seq_no", "n_tokens", "tokens"])
 
     return parse
