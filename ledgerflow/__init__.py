@@ -1,0 +1 @@
+"""Analytics over ordered, sharded command logs, on Spark DataFrames."""

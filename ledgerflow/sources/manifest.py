@@ -1,0 +1,63 @@
+"""Tables with versions: files first, a manifest row last, so a reader sees whole versions only."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+MANIFEST = "table string, version long, path string, batch_id long, removed boolean"
+
+
+class Store:
+    """A folder of named tables in any store that Spark writes to.
+
+    A commit writes a table's files to a new path and then appends one manifest row; a batch id that
+    is already there is not written again, which makes ``foreachBatch`` sinks exactly-once.
+    """
+
+    def __init__(self, spark: SparkSession, root: str) -> None:
+        self.spark, self.root = spark, root.rstrip("/")
+        spark.createDataFrame([], MANIFEST).write.mode("append").parquet(f"{self.root}/manifest")
+
+    def manifest(self) -> DataFrame:
+        return self.spark.read.schema(MANIFEST).parquet(f"{self.root}/manifest")
+
+    def _add(self, rows: list[tuple]) -> None:
+        self.spark.createDataFrame(rows, MANIFEST).coalesce(1).write.mode("append").parquet(f"{self.root}/manifest")
+
+    def commit(self, tables: dict[str, DataFrame], batch_id: int = -1) -> int:
+        """Write all ``tables`` as one version; returns it. One manifest append makes them visible together."""
+        known = self.manifest()
+        if batch_id >= 0 and (seen := known.where(F.col("batch_id") == batch_id).agg(F.max("version")).first()[0]) is not None:
+            return seen
+        version = (known.agg(F.max("version")).first()[0] or 0) + 1
+        rows = []
+        for name, df in tables.items():
+            path = f"{self.root}/{name}/{version}-{uuid.uuid4().hex}"
+            df.write.parquet(path)
+            rows.append((name, version, path, batch_id, False))
+        self._add(rows)
+        return version
+
+    def read(self, name: str, version: int | None = None, all_versions: bool = False) -> DataFrame:
+        """The newest version at or before ``version``, or the union of all up to it."""
+        rows = self.manifest().where((F.col("table") == name) & (F.lit(version is None) | (F.col("version") <= (version or 0))))
+        found = rows.groupBy("version", "path").agg(F.max("removed").alias("gone")).where("not gone").orderBy("version").collect()
+        if not found:
+            raise ValueError(f"no version of {name}")
+        return self.spark.read.parquet(*([r.path for r in found] if all_versions else [found[-1].path]))
+
+    def retain(self, name: str, keep: int = 1) -> list[str]:
+        """Mark all but the newest ``keep`` versions removed, never the newest; returns their paths."""
+        rows = self.manifest().where(F.col("table") == name).groupBy("version", "path").agg(F.max("removed").alias("gone")).where("not gone").orderBy(F.desc("version")).collect()
+        old = rows[max(1, keep):]
+        if old:
+            self._add([(name, r.version, r.path, -1, True) for r in old])
+        return [r.path for r in old]
+
+    def orphans(self, listing: DataFrame) -> DataFrame:
+        """Paths of ``listing`` that no live version has."""
+        live = self.manifest().groupBy("path").agg(F.max("removed").alias("gone")).where("not gone")
+        return listing.join(live, "path", "left_anti")
