@@ -70,8 +70,8 @@ win AS (
   FROM item, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS r(i) WHERE len(words) > 0),
 doc AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '') AS words FROM documents),
-at AS (SELECT doc_id, i, n, words[i:i + n - 1] AS w FROM doc, (SELECT DISTINCT n FROM win) AS l, unnest(range(1, len(words) - n + 2)) AS r(i) WHERE len(words) >= n),
-hit AS (SELECT at.doc_id, at.i, at.n, win.item_id FROM at JOIN win ON at.w = win.w),
+spot AS (SELECT doc_id, i, n, words[i:i + n - 1] AS w FROM doc, (SELECT DISTINCT n FROM win) AS l, unnest(range(1, len(words) - n + 2)) AS r(i) WHERE len(words) >= n),
+hit AS (SELECT spot.doc_id, spot.i, spot.n, win.item_id FROM spot JOIN win ON spot.w = win.w),
 word AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM hit, unnest(range(i, i + n)) AS r(p) GROUP BY doc_id),
 ids AS (SELECT doc_id, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS all_ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS id FROM hit) GROUP BY doc_id)
 SELECT doc.doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
