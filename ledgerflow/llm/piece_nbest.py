@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import array
 import hashlib
 import heapq
 import re
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
@@ -17,8 +20,11 @@ SPACE = "▁"
 #: Text is cut before a space that follows other text. No piece spans such a place, so the lattice falls apart there.
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 NBEST = 4
-#: Segments whose forward pass a task keeps; it starts anew when full.
-MEMORY = 300_000
+#: Segments whose forward pass a task keeps; it starts anew when full. Longer segments are not kept.
+MEMORY, KEPT_CHARS = 500_000, 32
+#: Characters of the texts that a task works on together.
+TOGETHER = 2_000_000
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class Pieces:
@@ -42,6 +48,97 @@ class Pieces:
         assert not any(SPACE in p.lstrip(SPACE) for p in self.score), "a piece spans a space"
         self.longest = max(map(len, self.score))
         self.unknown = min(s for s, _ in self.score.values() if s > -1e8) - 10.0
+        self._table()
+
+    def _table(self) -> None:
+        """Pieces by a 64-bit hash of their characters, in a table with a few probes."""
+        names = list(self.score)
+        with np.errstate(over="ignore"):
+            hashes = np.array([self._hash(p) for p in names], np.uint64)
+        assert len(set(hashes.tolist())) == len(names), "two pieces share a hash"
+        self.slot_bits, self.probes = 20, 1
+        self.slots = np.zeros(1 << self.slot_bits, np.int32)  # 0: free, else 1 + the piece's row
+        for row, h in enumerate(hashes.tolist()):
+            at = h >> (64 - self.slot_bits)
+            probe = 1
+            while self.slots[at]:
+                at, probe = (at + 1) % len(self.slots), probe + 1
+            self.slots[at], self.probes = row + 1, max(self.probes, probe)
+        self.row_hash = np.concatenate([[np.uint64(0)], hashes])
+        self.row_score = np.array([-np.inf, *(self.score[p][0] for p in names)])
+        self.row_id = np.array([-1, *(self.score[p][1] for p in names)], np.int32)
+
+    @staticmethod
+    def _hash(piece: str) -> np.uint64:
+        h = np.uint64(0)
+        for c in piece:
+            h = (h + np.uint64(ord(c))) * _ODD
+        return h
+
+    def _rows(self, h: np.ndarray) -> np.ndarray:
+        """Row of the piece with each hash; 0 where there is none."""
+        at = (h >> np.uint64(64 - self.slot_bits)).astype(np.int64)
+        found = self.slots[at]
+        found = np.where(self.row_hash[found] == h, found, 0)
+        for step in range(1, self.probes):
+            more = self.slots[(at + step) & (len(self.slots) - 1)]
+            found = np.where((found == 0) & (self.row_hash[more] == h), more, found)
+        return found
+
+    def forward_many(self, words: list[str]) -> Iterator[tuple[str, tuple[float, tuple[int, ...], float]]]:
+        """(segment, (score, best ids, loss)) of many segments: the forward pass for all of one length at once."""
+        words = sorted(words, key=len)
+        at = 0
+        while at < len(words):
+            n = len(words[at])
+            end = at + 1
+            while end < len(words) and len(words[end]) == n and end - at < 400_000 // n:
+                end += 1
+            yield from zip(words[at:end], self._forward_equal(words[at:end], n), strict=True)
+            at = end
+
+    def _forward_equal(self, words: list[str], n: int) -> Iterator[tuple[float, tuple[int, ...], float]]:
+        m = len(words)
+        codes = np.ascontiguousarray(np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(m, n).T).astype(np.uint64)
+        score, ids, h = {}, {}, np.zeros((n + 1, m), np.uint64)
+        with np.errstate(over="ignore"):
+            for size in range(1, min(n, self.longest) + 1):
+                h = (h[:n - size + 1] + codes[size - 1:]) * _ODD
+                rows = self._rows(h)
+                score[size], ids[size] = self.row_score[rows], self.row_id[rows]
+        free = ids[1] < 0
+        score[1][free] = self.unknown
+        ids[1][free] = -1 - codes[free].astype(np.int32)  # a negative id: the bytes of this character
+        best, via, gap = np.zeros((n + 1, m)), np.zeros((n + 1, m), np.int8), np.full((n + 1, m), np.inf)
+        for end in range(1, n + 1):
+            high, second, size_ = np.full(m, -np.inf), np.full(m, -np.inf), np.zeros(m, np.int8)
+            for size in range(min(end, self.longest), 0, -1):
+                s = best[end - size] + score[size][end - size]
+                better = s > high
+                second = np.where(better, high, np.maximum(second, s))
+                size_[better] = size
+                high = np.maximum(high, s)
+            best[end], via[end], gap[end] = high, size_, high - second
+        place, column, loss = np.full(m, n), np.arange(m), np.full(m, np.inf)
+        path = np.zeros((n, m), np.int32)
+        for step in range(n):  # best paths from the end
+            open_ = np.flatnonzero(place > 0)
+            if not len(open_):
+                break
+            where = place[open_]
+            loss[open_] = np.minimum(loss[open_], gap[where, open_])
+            sizes = via[where, open_].astype(np.int64)
+            for size in np.unique(sizes):
+                own = sizes == size
+                path[step, open_[own]] = ids[int(size)][where[own] - size, open_[own]] + 1 if size else 0
+            place[open_] = where - sizes
+        lengths = (path != 0).sum(axis=0)
+        for c, (score_, length, lost) in enumerate(zip(best[n].tolist(), lengths.tolist(), loss.tolist(), strict=True)):
+            own = path[:length, c][::-1].tolist()
+            if min(own) <= 0:
+                yield score_, tuple(chain.from_iterable([x - 1] if x > 0 else [self.byte[b] for b in chr(-x).encode("utf-8", "surrogatepass")] for x in own)), lost
+            else:
+                yield score_, tuple(x - 1 for x in own), lost
 
     def edges(self, segment: str, end: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
         """(start, score, ids) of the lattice's edges that end at ``end``; a character without a piece is its bytes."""
@@ -105,9 +202,13 @@ class Pieces:
                 heapq.heappush(heap, (-(own + score + best[start]), piece + ids, start, own + score))
         return found
 
+    def raw(self, ids: tuple[int, ...] | list[int]) -> str:
+        """What the pieces say, spaces visible."""
+        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")
+
     def decode(self, ids: tuple[int, ...] | list[int]) -> str:
         """The text of a segmentation."""
-        text = b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass").replace(SPACE, " ")
+        text = self.raw(ids).replace(SPACE, " ")
         return text[1:] if text.startswith(" ") else text
 
 
@@ -116,35 +217,22 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def nbest(pieces: Pieces, memory: dict, text: str, count: int) -> list[tuple[float, list[int]]]:
-    """The ``count`` best segmentations of a whole text, best first.
+def choose(pieces: Pieces, segments: list[str], scores: tuple, own: tuple, losses: tuple, count: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
+    """The ``count`` best segmentations of a whole text, best first, as score and the segments that differ from the best.
 
     Segments are independent, so a text's n-best are its best path with at most ``count`` - 1
     segments changed, and those are among the segments that lose least. They get the full search,
     and a heap puts their choices in order.
     """
-    segments = SEGMENT.findall(marked(text))
-    parts, score = [], 0.0
-    for segment in segments:
-        known = memory.get(segment)
-        if known is None:
-            best, ids, loss = pieces.forward(segment)
-            known = (best[-1], ids, loss)
-            if len(segment) <= 64:
-                memory[segment] = known
-        parts.append(known)
-        score += known[0]
-    open_ = heapq.nsmallest(count - 1, (i for i, p in enumerate(parts) if p[2] < float("inf")), key=lambda i: (parts[i][2], i)) if count > 1 else []
+    open_ = [i for loss, i in heapq.nsmallest(count - 1, zip(losses, range(len(losses)), strict=True)) if loss < float("inf")]
     choices = []
     for i in open_:  # of equal sums the forward pass may have picked another path than the search
-        own = parts[i][1]
-        choices.append([(parts[i][0], own), *[x for x in pieces.search(segments[i], count) if x[1] != own][:count - 1]])
+        choices.append([(scores[i], own[i]), *[x for x in pieces.search(segments[i], count) if x[1] != own[i]][:count - 1]])
     start = (0,) * len(open_)
-    heap, seen, found = [(-score, start)], {start}, []
+    heap, seen, found = [(-sum(scores), start)], {start}, []
     while heap and len(found) < count:
         loss, chosen = heapq.heappop(heap)
-        changed = {open_[k]: choices[k][c][1] for k, c in enumerate(chosen) if c}
-        found.append((-loss, [x for i, p in enumerate(parts) for x in changed.get(i, p[1])]))
+        found.append((-loss, {open_[k]: choices[k][c][1] for k, c in enumerate(chosen) if c}))
         for k, c in enumerate(chosen):
             further = (*chosen[:k], c + 1, *chosen[k + 1:])
             if c + 1 < len(choices[k]) and further not in seen:
@@ -153,27 +241,62 @@ def nbest(pieces: Pieces, memory: dict, text: str, count: int) -> list[tuple[flo
     return found
 
 
+class Memory(dict):
+    """(score, best ids, loss) of segments, kept for those that are short."""
+
+    def __init__(self, pieces: Pieces) -> None:
+        self.pieces = pieces
+
+    def __missing__(self, segment: str) -> tuple[float, tuple[int, ...], float]:
+        best, ids, loss = self.pieces.forward(segment)
+        known = (best[-1], ids, loss)
+        if len(segment) <= KEPT_CHARS:
+            self[segment] = known
+        return known
+
+    def parts(self, segments: list[str]) -> tuple[tuple, tuple, tuple]:
+        """Scores, best ids and losses of a text's segments."""
+        return tuple(zip(*map(self.__getitem__, segments), strict=True)) if segments else ((), (), ())
+
+
+def nbest(pieces: Pieces, memory: Memory, text: str, count: int) -> list[tuple[float, list[int]]]:
+    """The ``count`` best segmentations of a whole text in full, best first."""
+    segments = SEGMENT.findall(marked(text))
+    scores, own, losses = memory.parts(segments)
+    return [(score, [x for i, ids in enumerate(own) for x in changed.get(i, ids)]) for score, changed in choose(pieces, segments, scores, own, losses, count)]
+
+
 def _segmenter(model: str, count: int, with_ids: bool):
+    def one(pieces: Pieces, memory: Memory, text: str, segments: list[str]) -> tuple:
+        scores, own, losses = memory.parts(segments)
+        found = choose(pieces, segments, scores, own, losses, count)
+        best = list(chain.from_iterable(own))
+        sizes = [len(best) + sum(len(ids) - len(own[i]) for i, ids in changed.items()) for _, changed in found]
+        # another segmentation differs from the best one in the changed segments only
+        same = pieces.decode(best) == text and all(pieces.raw(ids) == segments[i] for _, changed in found for i, ids in changed.items())
+        every = [[x for i, ids in enumerate(own) for x in changed.get(i, ids)] for _, changed in found] if with_ids else None
+        return len(best), found[0][0], [s for s, _ in found], sizes, hashlib.sha256(array.array("i", best).tobytes()).hexdigest(), same, every
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(public_tokenizers.path(model))
-        memory: dict = {}
+        memory = Memory(pieces)
+        names = ["n_pieces", "score", "nbest_scores", "nbest_sizes", "ids_sha256", "round_trip", *(["ids"] if with_ids else [])]
         for batch in batches:
-            out = {"doc_id": batch.column("doc_id"), "n_pieces": [], "score": [], "nbest_scores": [], "nbest_sizes": [], "ids_sha256": [], "round_trip": []} | ({"ids": []} if with_ids else {})
-            for item in batch.column("text"):
-                text = item.as_py() or ""
+            ids, rows, at = batch.column("doc_id").to_pylist(), [], 0
+            while at < batch.num_rows:
+                texts, size = [], 0
+                while at + len(texts) < batch.num_rows and size < TOGETHER:
+                    texts.append(batch.column("text")[at + len(texts)].as_py() or "")
+                    size += len(texts[-1])
+                at += len(texts)
                 if len(memory) > MEMORY:
                     memory.clear()
-                found = nbest(pieces, memory, text, count)
-                best = found[0][1]
-                out["n_pieces"].append(len(best))
-                out["score"].append(found[0][0])
-                out["nbest_scores"].append([s for s, _ in found])
-                out["nbest_sizes"].append([len(ids) for _, ids in found])
-                out["ids_sha256"].append(hashlib.sha256(",".join(map(str, best)).encode()).hexdigest())
-                out["round_trip"].append(all(pieces.decode(ids) == text for _, ids in found))
-                if with_ids:
-                    out["ids"].append([ids for _, ids in found])
-            yield pa.RecordBatch.from_pydict(out)
+                cut = [SEGMENT.findall(marked(t)) for t in texts]
+                fresh = {s for s in set(chain.from_iterable(cut)) if s not in memory and len(s) <= KEPT_CHARS}
+                memory.update(pieces.forward_many(list(fresh)))
+                rows += [one(pieces, memory, t, s) for t, s in zip(texts, cut, strict=True)]
+            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
+            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64())} | dict(zip(names, map(list, columns), strict=False)))
 
     return run
 
@@ -182,7 +305,7 @@ def segment_nbest(docs: DataFrame, model: str = "piece_bpe_32k.model", count: in
     """(doc_id, n_pieces, score, nbest_scores, nbest_sizes, ids_sha256, round_trip) of each row, and ``ids`` on demand.
 
     The ``count`` segmentations of the whole text with the highest sums of piece scores, best
-    first; n_pieces, score and ids_sha256 (comma-joined ids) are the best one's. round_trip says
+    first; n_pieces, score and ids_sha256 (of the ids as 32-bit integers) are the best one's. round_trip says
     that every one decodes to the text. Byte pieces stand in only for characters that no piece
     covers. Equal sums are told apart by the piece ids of the changed segments.
 

@@ -384,7 +384,7 @@ def all_paths(pieces, segment):
 
 @pytest.mark.parametrize("text", ["the cat", "a  b", "héllo", " x", "𝄞a", "ab\ncd e"])
 def test_nbest_of_short_texts(pieces, text):
-    found = piece_nbest.nbest(pieces, {}, text, 6)
+    found = piece_nbest.nbest(pieces, piece_nbest.Memory(pieces), text, 6)
     whole = all_paths(pieces, piece_nbest.marked(text))
     assert [round(-s, 6) for s, _ in found] == [round(s, 6) for s, _ in whole[:6]]
     assert len({tuple(i) for _, i in found}) == len(found) and {tuple(i) for _, i in found} <= {i for _, i in whole}
@@ -393,6 +393,16 @@ def test_nbest_of_short_texts(pieces, text):
         assert abs(pieces.forward(piece_nbest.marked(text))[2] - (whole[1][0] - whole[0][0])) < 1e-6
 
 
+def test_forward_pass_for_many(pieces):
+    rng = random.Random(31)
+    words = sorted({piece_nbest.SPACE * rng.randint(0, 2) + "".join(rng.choices("abcdeéü\n𝄞ñ.,*▁"[:-1], k=rng.randint(1, 20))) for _ in range(300)})
+    found = dict(pieces.forward_many(words))
+    assert sorted(found) == words
+    for word in words:
+        best, ids, loss = pieces.forward(word)
+        assert found[word] == (best[-1], ids, loss)
+
+
 def test_segmentation_round_trip(spark, edges, nothing):
     found = piece_nbest.segment_nbest(edges, with_ids=True).collect()
     assert len(found) == len(EDGES) and all(r.round_trip for r in found)
