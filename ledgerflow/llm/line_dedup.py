@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,44 +125,112 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
+        rows = ([], [], [], [])
+        for doc_id, text_hash, text in zip(ids, hashes, batch.column("text"), strict=True):
+            if (text := text.as_py()) is None:
+                continue
+            own = [" ".join(line.lower().split()) for line in text.split("\n")]
+            for column, values in zip(rows, ([doc_id] * len(own), [text_hash] * len(own), range(len(own)), own), strict=True):
+                column.extend(values)
+            if len(rows[0]) >= 8192:
+                yield _line_batch(*rows)
+                rows = ([], [], [], [])
+        if rows[0]:
+            yield _line_batch(*rows)
+
+
+def _line_batch(ids: list, hashes: list, numbers: list[int], norms: list[str]) -> pa.RecordBatch:
+    keys = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in norms), np.uint64, len(norms)).view(np.int64)
+    fit = [x.count(" ") >= MIN_WORDS - 1 and len(x) >= SHINGLE for x in norms]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(norms, pa.string()), pa.array(keys), pa.array(fit, pa.bool_())],
+        ["doc_id", "text_hash", "line_no", "norm", "key", "fit"])
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, norm, key, fit) of every line; fit: long enough to be compared."""
-    rows = documents(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    norm = F.trim(F.regexp_replace(F.lower("line"), r"\s+", " "))
-    return rows.select("doc_id", "text_hash", "line_no", norm.alias("norm")).select(
-        "*", F.xxhash64("norm").alias("key"), ((F.length("norm") - F.length(F.replace("norm", F.lit(" "))) >= MIN_WORDS - 1) & (F.length("norm") >= SHINGLE)).alias("fit"))
+    """(doc_id, text_hash, line_no, norm, key, fit) of every line, written once; fit: long enough to be compared."""
+    rows = documents(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    return stored(rows.mapInArrow(_split, "doc_id long, text_hash long, line_no int, norm string, key long, fit boolean"), "lines")
+
+
+#: Bits of the map by which lines are sifted before a shuffle: 8 MB, whatever the number of lines.
+SIEVE_BITS = 26
+
 
+def _sieve(wanted: DataFrame) -> np.ndarray:
+    """A bit map of the keys in ``wanted``. When it fills up it passes more lines on, never fewer."""
+    bit = F.col("key").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    words = wanted.select(F.shiftrightunsigned(bit, 6).alias("word"), bit.bitwiseAND(F.lit(63)).cast("int").alias("place"))
+    found = words.groupBy("word").agg(F.bit_or(F.expr("shiftleft(1L, place)")).alias("bits")).toArrow()
+    out = np.zeros(1 << SIEVE_BITS - 6, np.int64)
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return out.view(np.uint64)
 
-def _pairs(candidates: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``candidates`` whose lines reach the similarity."""
+
+def _sifted(shared):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            bit = batch.column("key").to_numpy(zero_copy_only=False).view(np.uint64) & np.uint64((1 << SIEVE_BITS) - 1)
+            yield batch.filter(pa.array((bits[(bit >> np.uint64(6)).astype(np.int64)] >> (bit & np.uint64(63)) & np.uint64(1)).astype(bool)))
+
+    return run
+
+
+def _verified(candidates: DataFrame, lines: DataFrame) -> DataFrame:
+    """The pairs (a, b) of ``candidates`` whose lines reach the similarity, written."""
+    candidates = stored(candidates, "line_pairs")
     wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
-    texts = stored(lines.select("key", "norm").join(wanted, "key", "left_semi").groupBy("key").agg(F.first("norm").alias("norm")), "candidate_lines")
+    sieve = candidates.sparkSession.sparkContext.broadcast(_sieve(wanted))
+    some = lines.mapInArrow(_sifted(sieve), "key long, norm string")
+    texts = stored(some.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted, "key", "left_semi"), "candidate_lines")
     one, other = (texts.select(F.col("key").alias(c), F.col("norm").alias(f"norm_{c}")) for c in "ab")
-    return candidates.join(other, "b").join(one, "a").mapInArrow(_verify, "a long, b long")
+    return stored(candidates.join(other, "b").join(one, "a").mapInArrow(_verify, "a long, b long"), "line_links")
+
+
+def _pair(x: str, y: str) -> list:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def line_links(lines: DataFrame) -> DataFrame:
     """(node, component) of lines that have a verified near-duplicate.
 
-    Each band bucket is a star around its least key; star pairs are verified and united. Where all
-    lines of a bucket are then connected it can hold no further link between components, so only
-    lines that differ in component from their centre are compared with the rest of their bucket.
-    No bucket is capped, and none is held in memory.
+    Each band bucket is first a star around its least key: star pairs are verified and united.
+    Where all lines of a bucket are then connected it holds no further link between components.
+    In the other buckets two rounds compare every line with a line of the largest component and one
+    of another, drawn anew for each bucket, and unite again. What is then still apart within a
+    bucket is compared pair by pair. So no pair of a bucket that could join two components is left
+    out, no bucket is capped, and none is held in memory.
     """
     fit = lines.where("fit").select("key", "norm")
     stars = stored(
         fit.mapInArrow(_bands, "band long, key long").repartition("band").sortWithinPartitions("band", "key").mapInArrow(_stars, "band long, center long, key long"),
         "line_buckets")
-    first = stored(_pairs(stars.select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), fit), "line_pairs")
-    groups = stored(connected_components(first), "line_groups")
-    label = lambda df, col, to: df.join(groups.select(F.col("node").alias(col), F.col("component").alias("c")), col, "left").withColumn(to, F.coalesce("c", col)).drop("c")
-    marked = stored(label(label(stars, "center", "of_center"), "key", "of_key"), "line_buckets")
-    apart = marked.where("of_center <> of_key").select("band", F.col("key").alias("x"), F.col("of_key").alias("of_x"))
-    if apart.isEmpty():
-        return groups
-    rest = apart.join(marked, "band").where("of_key <> of_x and (of_center = of_key or key > x)").select(F.least("x", "key").alias("a"), F.greatest("x", "key").alias("b")).distinct()
-    second = _pairs(rest, fit)
-    return connected_components(first.unionByName(second))
+    edges = _verified(stars.select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), fit)
+    members = stars.select("band", "key").unionByName(stars.select("band", F.col("center").alias("key")).distinct())
+    for salt in (1, 2, None):
+        groups = stored(connected_components(edges), "line_groups")
+        labelled = members.join(groups, members.key == groups.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
+        several = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
+        members = stored(labelled.join(several, "band", "left_semi"), "open_buckets")
+        if members.isEmpty():
+            return groups
+        if salt is not None:
+            draw = F.xxhash64("key", "band", F.lit(salt))
+            each = members.groupBy("band", "c").agg(F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "key")).alias("x"))
+            leaders = each.groupBy("band").agg(F.max(F.struct("n", "x.draw", "x.key", "c")).alias("first"), F.max(F.struct("x.draw", "x.key", "c")).alias("second"))
+            leaders = leaders.select("band", F.explode(F.array(F.struct("first.key", "first.c"), F.struct("second.key", "second.c"))).alias("leader")).select("band", F.col("leader.key").alias("with"), F.col("leader.c").alias("of")).distinct()
+            pairs = members.join(leaders, "band").where("c <> of").select(*_pair("key", "with")).distinct()
+        else:
+            other = members.select("band", F.col("key").alias("with"), F.col("c").alias("of"))
+            pairs = members.join(other, "band").where("c < of").select(*_pair("key", "with")).distinct()
+        found = _verified(pairs, fit)
+        edges = stored(edges.unionByName(found), "line_links")
+        members = members.select("band", "key")
+    return stored(connected_components(edges), "line_groups")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -178,7 +247,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     alike. Other columns are not used; an empty table gives no rows.
     """
     lines = lines_of(docs)
-    groups = stored(line_links(lines), "line_groups")
+    groups = line_links(lines)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "text_hash")
     firsts = lines.where("fit").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classes = firsts.join(groups, firsts.key == groups.node, "left").select("key", "first", "n", F.coalesce("component", "key").alias("class"))
