@@ -108,7 +108,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def jaccard(a: str, b: str) -> float:
     """Exact Jaccard similarity of two lines' character shingles."""
-    x, y = ({t[i:i + SHINGLE] for i in range(len(t) - SHINGLE + 1)} for t in (a, b))
+    x, y = _shingles(a), _shingles(b)
     return len(x & y) / len(x | y) if x or y else float(a == b)
 
 
@@ -118,8 +118,8 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         good = []
         for a, b in zip(batch.column("norm_a").to_pylist(), batch.column("norm_b").to_pylist(), strict=True):
             if a != held:
-                held, shingles = a, {a[i:i + SHINGLE] for i in range(len(a) - SHINGLE + 1)}
-            other = {b[i:i + SHINGLE] for i in range(len(b) - SHINGLE + 1)}
+                held, shingles = a, _shingles(a)
+            other = _shingles(b)
             common = len(shingles & other)
             good.append(common >= SIMILARITY * (len(shingles) + len(other) - common))
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
@@ -180,57 +180,121 @@ def _sifted(shared):
     return run
 
 
+def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
+    """(key, norm) of the keys in ``wanted``, written."""
+    sieve = wanted.sparkSession.sparkContext.broadcast(_sieve(wanted))
+    some = lines.mapInArrow(_sifted(sieve), "key long, norm string")
+    return stored(some.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted, "key", "left_semi"), "candidate_lines")
+
+
 def _verified(candidates: DataFrame, lines: DataFrame) -> DataFrame:
     """The pairs (a, b) of ``candidates`` whose lines reach the similarity, written."""
     candidates = stored(candidates, "line_pairs")
     wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
-    sieve = candidates.sparkSession.sparkContext.broadcast(_sieve(wanted))
-    some = lines.mapInArrow(_sifted(sieve), "key long, norm string")
-    texts = stored(some.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted, "key", "left_semi"), "candidate_lines")
+    texts = _texts(wanted, lines)
     one, other = (texts.select(F.col("key").alias(c), F.col("norm").alias(f"norm_{c}")) for c in "ab")
     return stored(candidates.join(other, "b").join(one, "a").mapInArrow(_verify, "a long, b long"), "line_links")
 
 
-def _pair(x: str, y: str) -> list:
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+#: Lines of a bucket that one group compares; a larger bucket is compared block by block.
+BLOCK = 4096
+#: Bits of the map of a line's shingles, and lines from which maps pay.
+MAP_BITS, MAPPED = 2048, 12
+
+
+def _shingles(line: str) -> set[str]:
+    return {line[i:i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
+
+
+def _maps(lines: list[set[str]]) -> np.ndarray:
+    """Bit map [line, word] of each line's shingles."""
+    out = np.zeros((len(lines), MAP_BITS), np.uint8)
+    for row, line in zip(out, lines, strict=True):
+        row[np.fromiter(map(hash, line), np.int64, len(line)) & (MAP_BITS - 1)] = 1
+    return np.packbits(out, axis=1).view(np.uint64)
+
+
+def cross_links(keys: list[int], components: list[int], sides: list[int], norms: list[str]) -> list[tuple[int, int]]:
+    """Links that join lines of different components, enough of them to connect whatever the group connects.
+
+    Pairs on one side only are left to the group that has them on both (sides are equal there). A
+    pair is settled by its shingle sets; before, a map of hashed shingles bounds what two lines can
+    share from above, so a pair that it rules out is not similar.
+    """
+    order = sorted(range(len(keys)), key=lambda i: keys[i])
+    sets = [_shingles(norms[i]) for i in order]
+    keys, sides = [keys[i] for i in order], np.array([sides[i] for i in order])
+    labels, own = np.unique([components[i] for i in order], return_inverse=True)
+    across = len(set(sides.tolist())) > 1
+    sizes = np.array([len(x) for x in sets])
+    maps = _maps(sets) if len(keys) >= MAPPED else None
+    lost = sizes - np.bitwise_count(maps).sum(axis=1) if maps is not None else None
+    found = []
+    for i in range(len(keys) - 1):
+        rest = np.arange(i + 1, len(keys))
+        rest = rest[own[rest] != own[i]]
+        if across:
+            rest = rest[sides[rest] != sides[i]]
+        low, high = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
+        rest = rest[low >= SIMILARITY * high]
+        if maps is not None and len(rest):
+            most = np.bitwise_count(maps[rest] & maps[i]).sum(axis=1) + np.minimum(lost[rest], lost[i])
+            rest = rest[most >= SIMILARITY * (sizes[rest] + sizes[i] - most)]
+        for j in rest.tolist():
+            if own[j] != own[i]:
+                common = len(sets[i] & sets[j])
+                if common >= SIMILARITY * (sizes[i] + sizes[j] - common):
+                    found.append((keys[i], keys[j]))
+                    own[own == own[j]] = own[i]
+    return found
+
+
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links of groups that come sorted by (band, x, y); only the open group is held, and its size is bounded."""
+    names = ("key", "c", "side", "norm")
+    held, group = [], None
+    for batch in batches:
+        places = list(zip(*(batch.column(c).to_pylist() for c in ("band", "x", "y")), strict=True))
+        rows = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
+        links = []
+        for place, row in zip(places, rows, strict=True):
+            if place != group:
+                links += cross_links(*map(list, zip(*held, strict=True))) if held else []
+                held, group = [], place
+            held.append(row)
+        yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
+    links = cross_links(*map(list, zip(*held, strict=True))) if held else []
+    yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
 def line_links(lines: DataFrame) -> DataFrame:
     """(node, component) of lines that have a verified near-duplicate.
 
     Each band bucket is first a star around its least key: star pairs are verified and united.
-    Where all lines of a bucket are then connected it holds no further link between components.
-    In the other buckets two rounds compare every line with a line of the largest component and one
-    of another, drawn anew for each bucket, and unite again. What is then still apart within a
-    bucket is compared pair by pair. So no pair of a bucket that could join two components is left
-    out, no bucket is capped, and none is held in memory.
+    Where all lines of a bucket are then connected it holds no further link between components. The
+    other buckets get their lines' texts and are compared in full, except for pairs that are
+    connected already; what leaves a task are links, not pairs. A bucket of more than ``BLOCK`` lines
+    is dealt as pairs of blocks. So no pair of a bucket that could join two components is left out,
+    no bucket is capped, and no task holds more than two blocks.
     """
     fit = lines.where("fit").select("key", "norm")
     stars = stored(
         fit.mapInArrow(_bands, "band long, key long").repartition("band").sortWithinPartitions("band", "key").mapInArrow(_stars, "band long, center long, key long"),
         "line_buckets")
     edges = _verified(stars.select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), fit)
+    groups = stored(connected_components(edges), "line_groups")
     members = stars.select("band", "key").unionByName(stars.select("band", F.col("center").alias("key")).distinct())
-    for salt in (1, 2, None):
-        groups = stored(connected_components(edges), "line_groups")
-        labelled = members.join(groups, members.key == groups.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
-        several = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low <> high").select("band")
-        members = stored(labelled.join(several, "band", "left_semi"), "open_buckets")
-        if members.isEmpty():
-            return groups
-        if salt is not None:
-            draw = F.xxhash64("key", "band", F.lit(salt))
-            each = members.groupBy("band", "c").agg(F.count("*").alias("n"), F.min(F.struct(draw.alias("draw"), "key")).alias("x"))
-            leaders = each.groupBy("band").agg(F.max(F.struct("n", "x.draw", "x.key", "c")).alias("first"), F.max(F.struct("x.draw", "x.key", "c")).alias("second"))
-            leaders = leaders.select("band", F.explode(F.array(F.struct("first.key", "first.c"), F.struct("second.key", "second.c"))).alias("leader")).select("band", F.col("leader.key").alias("with"), F.col("leader.c").alias("of")).distinct()
-            pairs = members.join(leaders, "band").where("c <> of").select(*_pair("key", "with")).distinct()
-        else:
-            other = members.select("band", F.col("key").alias("with"), F.col("c").alias("of"))
-            pairs = members.join(other, "band").where("c < of").select(*_pair("key", "with")).distinct()
-        found = _verified(pairs, fit)
-        edges = stored(edges.unionByName(found), "line_links")
-        members = members.select("band", "key")
-    return stored(connected_components(edges), "line_groups")
+    labelled = members.join(groups, members.key == groups.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
+    several = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    members = stored(labelled.join(several, "band"), "open_buckets")
+    if members.isEmpty():
+        return groups
+    own = F.pmod(F.xxhash64("key"), F.col("blocks"))
+    dealt = members.select("band", "key", "c", own.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.join(_texts(members.select("key").distinct(), fit), "key")
+    dealt = dealt.select("band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "key", "c", "side", "norm")
+    found = stored(dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_compared, "a long, b long"), "line_links")
+    return stored(connected_components(edges.unionByName(found)), "line_groups")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -264,7 +264,9 @@ def test_contamination(spark, nothing, broadcast, monkeypatch):
 # --- lines
 
 
-def test_line_classes(spark, nothing):
+@pytest.mark.parametrize("block", [4096, 2])
+def test_line_classes(spark, nothing, block, monkeypatch):
+    monkeypatch.setattr(line_dedup, "BLOCK", block)
     rng = random.Random(11)
     lines = [prose(rng, rng.randint(8, 40), 3000) for _ in range(60)]
 
@@ -305,6 +307,36 @@ def test_line_classes(spark, nothing):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_bucket_is_compared_in_full():
+    rng = random.Random(37)
+    base = [prose(rng, 40, 500) for _ in range(4)]
+    lines = []
+    for _ in range(40):
+        words = rng.choice(base).split()
+        for _ in range(rng.randint(0, 6)):
+            words[rng.randrange(len(words))] = "changed"
+        lines.append(" ".join(words))
+    lines = sorted(set(lines))
+    keys = rng.sample(range(10**6), len(lines))
+
+    def joined(pairs):
+        root = {k: k for k in keys}
+        for a, b in pairs:
+            x, y = root[a], root[b]
+            root = {k: x if v == y else v for k, v in root.items()}
+        return {frozenset(k for k in keys if root[k] == v) for v in root.values()}
+
+    near = [(a, b) for (a, x), (b, y) in itertools.combinations(zip(keys, lines, strict=True), 2) if line_dedup.jaccard(x, y) >= line_dedup.SIMILARITY]
+    whole = line_dedup.cross_links(keys, keys, [0] * len(keys), lines)
+    assert joined(whole) == joined(near) and len(whole) < len(near)
+    blocks = [[i for i in range(len(keys)) if keys[i] % 3 == b] for b in range(3)]
+    parts = []
+    for x, y in itertools.combinations_with_replacement(range(3), 2):
+        rows = sorted({*blocks[x], *blocks[y]})
+        parts += line_dedup.cross_links([keys[i] for i in rows], [keys[i] for i in rows], [keys[i] % 3 for i in rows], [lines[i] for i in rows])
+    assert joined(parts) == joined(near)
+
+
 def test_texts_without_repeated_lines(spark):
     line = "these are enough words for one line of text"
     docs = documents(spark, [(1, line + "\nshort\n" + line), (2, line), (3, "other words that are no copy at all, none\n\n" + line.upper()), (4, None), (5, ""), (6, line + "\nshort")])
