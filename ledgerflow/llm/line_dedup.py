@@ -272,8 +272,8 @@ def line_links(lines: DataFrame) -> DataFrame:
 
     Each band bucket is first a star around its least key: star pairs are verified and united.
     Where all lines of a bucket are then connected it holds no further link between components. The
-    other buckets get their lines' texts and are compared in full, except for pairs that are
-    connected already; what leaves a task are links, not pairs. A bucket of more than ``BLOCK`` lines
+    other buckets, each set of lines once, get their lines' texts and are compared in full, except for
+    pairs that are connected already; what leaves a task are links, not pairs. A bucket of more than ``BLOCK`` lines
     is dealt as pairs of blocks. So no pair of a bucket that could join two components is left out,
     no bucket is capped, and no task holds more than two blocks.
     """
@@ -285,7 +285,10 @@ def line_links(lines: DataFrame) -> DataFrame:
     groups = stored(connected_components(edges), "line_groups")
     members = stars.select("band", "key").unionByName(stars.select("band", F.col("center").alias("key")).distinct())
     labelled = members.join(groups, members.key == groups.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
-    several = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n")).where("low <> high").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
+    # bands that have the same lines together need one comparison: their sets are told by size and a sum of hashes
+    lines_of_band = F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("lines")
+    several = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), lines_of_band).where("low <> high")
+    several = several.groupBy("n", "lines").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     members = stored(labelled.join(several, "band"), "open_buckets")
     if members.isEmpty():
         return groups
