@@ -10,12 +10,15 @@ from ledgerflow.llm.common import stored, table
 
 #: Least mean probability of the predicted language; an even guess among four is 0.25.
 LANGUAGE_SCORE = 0.4
+#: Characters from which an unsure language counts against a document; a word or two may belong to several.
+SURE_CHARS = 50
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those of no language or an unsure one go."""
-    found = language_id.language_id(docs).where((F.col("lang_pred") == "und") | (F.col("score") < LANGUAGE_SCORE)).select(F.col("doc_id").alias("rejected")).distinct()
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["rejected"]), "left_anti")
+    """Documents whose language is identified; those of no language go, and longer ones of an unsure one. Rows without id go together."""
+    none = F.col("lang_pred") == "und"
+    found = language_id.language_id(docs).where(none | (F.col("score") < LANGUAGE_SCORE)).groupBy(F.col("doc_id").alias("rejected")).agg(F.bool_or(none).alias("no_language"))
+    return docs.join(found, docs["doc_id"].eqNullSafe(found["rejected"]) & (found["no_language"] | (F.length(docs["text"]) >= SURE_CHARS)), "left_anti")
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
