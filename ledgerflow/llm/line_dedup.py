@@ -42,30 +42,20 @@ def signatures(lines: list[str]) -> np.ndarray:
         while width < SHINGLE:  # rolling hashes of 2, 4, 8 characters
             h = h[:-width] * power + h[width:]
             power, width = power * power, width * 2
-        ends = np.cumsum(lengths)
-        own = lengths - SHINGLE + 1
-        first = ends - lengths
-        line = np.repeat(np.arange(len(lines)), own)
-        place = np.arange(len(line)) - np.repeat(np.cumsum(own) - own, own) + np.repeat(first, own)
-        hashed = _mix(h[place])
-        slot = ((hashed >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
-        out = np.full(len(lines) * bins, np.iinfo(np.uint64).max, np.uint64)
-        np.minimum.at(out, line * bins + slot.astype(np.int64), hashed)
-        out = out.reshape(len(lines), bins)
-        empty = out == np.iinfo(np.uint64).max
-        some = np.flatnonzero(empty.any(axis=1))
-        if len(some):
-            part, gaps = out[some], empty[some]
-            filled = part.copy()
-            for far in range(1, bins):
-                if not gaps.any():
-                    break
-                source, free = np.roll(part, -far, axis=1), np.roll(empty[some], -far, axis=1)
-                take = gaps & ~free
-                filled[take] = (source + np.uint64(far) * _ODD)[take]
-                gaps = gaps & ~take
-            out[some] = filled
-    return out
+        hashed = _mix(h)
+        slot = ((hashed >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
+        slot += np.repeat(np.arange(len(lines)) * bins, lengths)[:len(slot)]
+        seams = np.cumsum(lengths)[:-1]
+        for back in range(1, SHINGLE):  # shingles that run on into the next line go to a spare bin
+            slot[seams - back] = len(lines) * bins
+        out = np.full(len(lines) * bins + 1, np.iinfo(np.uint64).max, np.uint64)
+        np.minimum.at(out, slot, hashed)
+        out = out[:-1].reshape(len(lines), bins)
+        own = np.arange(bins)
+        filled = np.where(out == np.iinfo(np.uint64).max, 2 * bins, own)
+        filled = np.concatenate([filled, filled + bins], axis=1)
+        filled = np.minimum.accumulate(filled[:, ::-1], axis=1)[:, ::-1][:, :bins]  # this bin or the next filled one
+        return np.take_along_axis(out, filled % bins, axis=1) + (filled - own).astype(np.uint64) * _ODD
 
 
 def band_keys(lines: list[str]) -> np.ndarray:
@@ -84,10 +74,10 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, first = np.unique(batch.column("key").to_numpy(zero_copy_only=False), return_index=True)
         if not len(keys):
             continue
-        for at in range(0, len(keys), 4096):
-            lines = batch.column("norm").take(pa.array(first[at:at + 4096])).to_pylist()
-            bands = band_keys(lines)
-            yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(keys[at:at + 4096], BANDS))], ["band", "key"])
+        norms, bands = batch.column("norm").take(pa.array(first)).to_pylist(), np.empty((len(keys), BANDS), np.int64)
+        for at in range(0, len(keys), 512):  # what a turn works on stays in the processor's cache
+            bands[at:at + 512] = band_keys(norms[at:at + 512])
+        yield pa.RecordBatch.from_arrays([pa.array(bands.ravel()), pa.array(np.repeat(keys, BANDS))], ["band", "key"])
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,13 +177,13 @@ def _texts(wanted: DataFrame, lines: DataFrame) -> DataFrame:
     return stored(some.groupBy("key").agg(F.first("norm").alias("norm")).join(wanted, "key", "left_semi"), "candidate_lines")
 
 
-def _verified(candidates: DataFrame, lines: DataFrame) -> DataFrame:
-    """The pairs (a, b) of ``candidates`` whose lines reach the similarity, written."""
+def _verified(candidates: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs (a, b) of ``candidates`` whose lines reach the similarity, written, and the texts of all lines in ``candidates``."""
     candidates = stored(candidates, "line_pairs")
     wanted = candidates.select(F.col("a").alias("key")).unionByName(candidates.select(F.col("b").alias("key"))).distinct()
     texts = _texts(wanted, lines)
     one, other = (texts.select(F.col("key").alias(c), F.col("norm").alias(f"norm_{c}")) for c in "ab")
-    return stored(candidates.join(other, "b").join(one, "a").mapInArrow(_verify, "a long, b long"), "line_links")
+    return stored(candidates.join(other, "b").join(one, "a").mapInArrow(_verify, "a long, b long"), "line_links"), texts
 
 
 #: Lines of a bucket that one group compares; a larger bucket is compared block by block.
@@ -250,20 +240,25 @@ def cross_links(keys: list[int], components: list[int], sides: list[int], norms:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links of groups that come sorted by (band, x, y); only the open group is held, and its size is bounded."""
+    """Pairs of components that a group links; groups come sorted by (band, x, y), only the open one is held, and its size is bounded."""
     names = ("key", "c", "side", "norm")
     held, group = [], None
+
+    def joined() -> set[tuple[int, int]]:
+        of = {row[0]: row[1] for row in held}
+        return {(of[a], of[b]) for a, b in cross_links(*map(list, zip(*held, strict=True)))} if held else set()
+
     for batch in batches:
         places = list(zip(*(batch.column(c).to_pylist() for c in ("band", "x", "y")), strict=True))
         rows = list(zip(*(batch.column(c).to_pylist() for c in names), strict=True))
-        links = []
+        links = set()
         for place, row in zip(places, rows, strict=True):
             if place != group:
-                links += cross_links(*map(list, zip(*held, strict=True))) if held else []
+                links |= joined()
                 held, group = [], place
             held.append(row)
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
-    links = cross_links(*map(list, zip(*held, strict=True))) if held else []
+    links = joined()
     yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in links], pa.int64()), pa.array([y for _, y in links], pa.int64())], ["a", "b"])
 
 
@@ -273,7 +268,8 @@ def line_links(lines: DataFrame) -> DataFrame:
     Each band bucket is first a star around its least key: star pairs are verified and united.
     Where all lines of a bucket are then connected it holds no further link between components. The
     other buckets, each set of lines once, get their lines' texts and are compared in full, except for
-    pairs that are connected already; what leaves a task are links, not pairs. A bucket of more than ``BLOCK`` lines
+    pairs that are connected already; what leaves a task are links between components, not pairs,
+    and the second union-find runs over components. A bucket of more than ``BLOCK`` lines
     is dealt as pairs of blocks. So no pair of a bucket that could join two components is left out,
     no bucket is capped, and no task holds more than two blocks.
     """
@@ -281,7 +277,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     stars = stored(
         fit.mapInArrow(_bands, "band long, key long").repartition("band").sortWithinPartitions("band", "key").mapInArrow(_stars, "band long, center long, key long"),
         "line_buckets")
-    edges = _verified(stars.select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), fit)
+    edges, texts = _verified(stars.select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), fit)
     groups = stored(connected_components(edges), "line_groups")
     members = stars.select("band", "key").unionByName(stars.select("band", F.col("center").alias("key")).distinct())
     labelled = members.join(groups, members.key == groups.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
@@ -294,10 +290,13 @@ def line_links(lines: DataFrame) -> DataFrame:
         return groups
     own = F.pmod(F.xxhash64("key"), F.col("blocks"))
     dealt = members.select("band", "key", "c", own.alias("side"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.join(_texts(members.select("key").distinct(), fit), "key")
+    dealt = dealt.join(texts, "key")
     dealt = dealt.select("band", F.least("side", "other").alias("x"), F.greatest("side", "other").alias("y"), "key", "c", "side", "norm")
-    found = stored(dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_compared, "a long, b long"), "line_links")
-    return stored(connected_components(edges.unionByName(found)), "line_groups")
+    found = dealt.repartition("band", "x", "y").sortWithinPartitions("band", "x", "y").mapInArrow(_compared, "a long, b long")
+    united = connected_components(found)  # of components, so the stars' edges are not walked again
+    alone = united.select("node", F.col("node").alias("component"))
+    now, above = groups.unionByName(alone).distinct(), united.select(F.col("node").alias("of"), F.col("component").alias("root"))
+    return stored(now.join(above, now.component == above.of, "left").select("node", F.coalesce("root", "component").alias("component")), "line_groups")
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
