@@ -28,6 +28,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of lines laid end to end, and the lines' lengths; a line's last places run on into the next."""
+    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
+    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        power, width = _ODD, 1
+        while width < SHINGLE:  # rolling hashes of 2, 4, 8 characters
+            h = h[:-width] * power + h[width:]
+            power, width = power * power, width * 2
+        return _mix(h), lengths
+
+
 def signatures(lines: list[str]) -> np.ndarray:
     """One-permutation MinHash [line, BANDS * ROWS] of the character shingles of lines of at least ``SHINGLE`` characters.
 
@@ -35,14 +47,8 @@ def signatures(lines: list[str]) -> np.ndarray:
     the next filled one's, with its distance mixed in, so that equal sets give equal signatures.
     """
     bins = BANDS * ROWS
-    lengths = np.fromiter(map(len, lines), np.int64, len(lines))
-    h = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    hashed, lengths = _hashes(lines)
     with np.errstate(over="ignore"):
-        power, width = _ODD, 1
-        while width < SHINGLE:  # rolling hashes of 2, 4, 8 characters
-            h = h[:-width] * power + h[width:]
-            power, width = power * power, width * 2
-        hashed = _mix(h)
         slot = ((hashed >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)).view(np.int64)
         slot += np.repeat(np.arange(len(lines)) * bins, lengths)[:len(slot)]
         seams = np.cumsum(lengths)[:-1]
@@ -188,54 +194,67 @@ def _verified(candidates: DataFrame, lines: DataFrame) -> tuple[DataFrame, DataF
 
 #: Lines of a bucket that one group compares; a larger bucket is compared block by block.
 BLOCK = 4096
-#: Bits of the map of a line's shingles, and lines from which maps pay.
-MAP_BITS, MAPPED = 2048, 12
+#: Bits of the map of a line's shingles.
+MAP_BITS = 2048
 
 
 def _shingles(line: str) -> set[str]:
     return {line[i:i + SHINGLE] for i in range(len(line) - SHINGLE + 1)}
 
 
-def _maps(lines: list[set[str]]) -> np.ndarray:
-    """Bit map [line, word] of each line's shingles."""
-    out = np.zeros((len(lines), MAP_BITS), np.uint8)
-    for row, line in zip(out, lines, strict=True):
-        row[np.fromiter(map(hash, line), np.int64, len(line)) & (MAP_BITS - 1)] = 1
-    return np.packbits(out, axis=1).view(np.uint64)
+def _maps(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Bit map [line, word] of each line's hashed shingles, and each line's different hashes in order."""
+    out, hashed = np.zeros((len(lines), MAP_BITS), np.uint8), []
+    for at in range(0, len(lines), 64):
+        hashes, lengths = _hashes(lines[at:at + 64])
+        ends = np.cumsum(lengths)
+        for i, (start, end) in enumerate(zip(ends - lengths, ends, strict=True), at):
+            own = np.sort(hashes[start:end - SHINGLE + 1])
+            out[i, (own & np.uint64(MAP_BITS - 1)).view(np.int64)] = 1
+            hashed.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+    return np.packbits(out, axis=1).view(np.uint64), hashed
 
 
 def cross_links(keys: list[int], components: list[int], sides: list[int], norms: list[str]) -> list[tuple[int, int]]:
     """Links that join lines of different components, enough of them to connect whatever the group connects.
 
     Pairs on one side only are left to the group that has them on both (sides are equal there). A
-    pair is settled by its shingle sets; before, a map of hashed shingles bounds what two lines can
-    share from above, so a pair that it rules out is not similar.
+    pair is settled by its shingle sets; before, maps of hashed shingles and then the hashes bound
+    what two lines can share from above, so a pair that they rule out is not similar. The bounds
+    leave room for two shingles of a line with one 64-bit hash.
     """
     order = sorted(range(len(keys)), key=lambda i: keys[i])
-    sets = [_shingles(norms[i]) for i in order]
+    lines = [norms[i] for i in order]
     keys, sides = [keys[i] for i in order], np.array([sides[i] for i in order])
-    labels, own = np.unique([components[i] for i in order], return_inverse=True)
+    own = np.unique([components[i] for i in order], return_inverse=True)[1]
     across = len(set(sides.tolist())) > 1
-    sizes = np.array([len(x) for x in sets])
-    maps = _maps(sets) if len(keys) >= MAPPED else None
-    lost = sizes - np.bitwise_count(maps).sum(axis=1) if maps is not None else None
+    maps, hashed = _maps(lines)
+    sizes = np.fromiter(map(len, hashed), np.int64, len(hashed))
+    lost = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64) + 1
+    sets: dict[int, set[str]] = {}
+
+    def similar(i: int, j: int) -> bool:
+        both = np.sort(np.concatenate([hashed[i], hashed[j]]))
+        most = np.count_nonzero(both[1:] == both[:-1]) + 1
+        if most < SIMILARITY * (sizes[i] + sizes[j] - most):
+            return False
+        x, y = (sets[k] if k in sets else sets.setdefault(k, _shingles(lines[k])) for k in (i, j))
+        common = len(x & y)
+        return common >= SIMILARITY * (len(x) + len(y) - common)
+
     found = []
     for i in range(len(keys) - 1):
-        rest = np.arange(i + 1, len(keys))
-        rest = rest[own[rest] != own[i]]
+        apart = own[i + 1:] != own[i]
         if across:
-            rest = rest[sides[rest] != sides[i]]
-        low, high = np.minimum(sizes[rest], sizes[i]), np.maximum(sizes[rest], sizes[i])
-        rest = rest[low >= SIMILARITY * high]
-        if maps is not None and len(rest):
-            most = np.bitwise_count(maps[rest] & maps[i]).sum(axis=1) + np.minimum(lost[rest], lost[i])
+            apart &= sides[i + 1:] != sides[i]
+        rest = np.flatnonzero(apart) + i + 1
+        if len(rest):
+            most = np.bitwise_count(maps[rest] & maps[i]).sum(axis=1, dtype=np.int64) + np.minimum(lost[rest], lost[i])
             rest = rest[most >= SIMILARITY * (sizes[rest] + sizes[i] - most)]
         for j in rest.tolist():
-            if own[j] != own[i]:
-                common = len(sets[i] & sets[j])
-                if common >= SIMILARITY * (sizes[i] + sizes[j] - common):
-                    found.append((keys[i], keys[j]))
-                    own[own == own[j]] = own[i]
+            if own[j] != own[i] and similar(i, j):
+                found.append((keys[i], keys[j]))
+                own[own == own[j]] = own[i]
     return found
 
 
@@ -266,7 +285,8 @@ def line_links(lines: DataFrame) -> DataFrame:
     """(node, component) of lines that have a verified near-duplicate.
 
     Each band bucket is first a star around its least key: star pairs are verified and united.
-    Where all lines of a bucket are then connected it holds no further link between components. The
+    Where all lines of a bucket are then connected it holds no further link between components, and
+    a bucket of two lines has no pair but the star's. The
     other buckets, each set of lines once, get their lines' texts and are compared in full, except for
     pairs that are connected already; what leaves a task are links between components, not pairs,
     and the second union-find runs over components. A bucket of more than ``BLOCK`` lines
@@ -283,7 +303,7 @@ def line_links(lines: DataFrame) -> DataFrame:
     labelled = members.join(groups, members.key == groups.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
     # bands that have the same lines together need one comparison: their sets are told by size and a sum of hashes
     lines_of_band = F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("lines")
-    several = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), lines_of_band).where("low <> high")
+    several = labelled.groupBy("band").agg(F.min("c").alias("low"), F.max("c").alias("high"), F.count("*").alias("n"), lines_of_band).where("low <> high and n > 2")
     several = several.groupBy("n", "lines").agg(F.min("band").alias("band")).select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
     members = stored(labelled.join(several, "band"), "open_buckets")
     if members.isEmpty():
