@@ -121,3 +121,18 @@ def can_grant_vote(vote: Column, candidate: Column, term: Column, own_term: Colu
 
 def snapshot_required(applied: Column, pushed: Column, last: Column, every: int) -> Column:
     return (F.lit(every) > 0) & (applied > last + every) & (pushed > last + every)
+
+
+def update_fault(commit: Column, last_apply: Column, last_save: Column) -> Column:
+    """What forbids an update to be applied: uncommitted or unsaved entries, else null. A null index is of an empty list."""
+    return F.when((commit > 0) & (last_apply > commit), "not_committed").when(last_apply > last_save, "not_saved")
+
+
+def fast_apply(snapshot_idx: Column, last_apply: Column, first_save: Column, last_save: Column) -> Column:
+    """Whether entries may be applied before others are saved: no snapshot, and the last one applied is not being saved."""
+    return (snapshot_idx == 0) & ~F.coalesce(last_apply.between(first_save, last_save), F.lit(False))
+
+
+def needs_sync(term: Column, vote: Column, before_term: Column, before_vote: Column) -> Column:
+    """Hard state must reach the disk when term or vote changed."""
+    return (term != before_term) | (vote != before_vote)

@@ -419,3 +419,20 @@ def differential_store(log, table):
     one, other = log.select("shard_id", "idx", "term", "key"), log.repartition("idx").select("shard_id", "idx", "term", "key")
     count = lambda df, name: df.agg(F.count("*").alias(name))
     return count(log, "n").crossJoin(count(one.exceptAll(other), "only_left")).crossJoin(count(other.exceptAll(one), "only_right"))
+
+
+@query("""SELECT shard_id, idx, CASE WHEN c > 0 AND apply > c THEN 'not_committed' WHEN apply > hi THEN 'not_saved' END AS fault,
+  snap = 0 AND NOT coalesce(apply BETWEEN lo AND hi, false) AS fast, (term <> before_term OR vote <> before_vote) AS sync
+  FROM (SELECT shard_id, idx, term, key % 3 AS vote, idx - key % 4 + 3 AS c, CASE WHEN key % 6 <> 0 THEN idx - key % 5 + 2 END AS apply, CASE WHEN key % 7 <> 0 THEN idx END AS lo,
+        CASE WHEN key % 7 <> 0 THEN idx + 1 END AS hi, CASE WHEN key % 11 = 0 THEN idx ELSE 0 END AS snap,
+        lag(term, 1, term) OVER w AS before_term, lag(key % 3, 1, key % 3) OVER w AS before_vote FROM log WINDOW w AS (PARTITION BY shard_id ORDER BY idx))""")
+def update_rules(log, table):
+    order = Window.partitionBy("shard_id").orderBy("idx")
+    idx, key = F.col("idx"), F.col("key")
+    vote, saves = key % 3, key % 7 != 0
+    apply, low, high = F.when(key % 6 != 0, idx - key % 5 + 2), F.when(saves, idx), F.when(saves, idx + 1)
+    before_term, before_vote = F.coalesce(F.lag("term").over(order), "term"), F.coalesce(F.lag(vote).over(order), vote)
+    return log.select(
+        "shard_id", "idx", scalars.update_fault(idx - key % 4 + 3, apply, high).alias("fault"),
+        scalars.fast_apply(F.when(key % 11 == 0, idx).otherwise(0), apply, low, high).alias("fast"),
+        scalars.needs_sync(F.col("term"), vote, before_term, before_vote).alias("sync"))
