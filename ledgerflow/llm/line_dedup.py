@@ -87,17 +87,23 @@ def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(band, center, key) for each further key of a bucket; rows come sorted by band and key, so a bucket is never held."""
+    """(band, center, key) for each key of a bucket but its center; rows come sorted by band alone, so a bucket is never held.
+
+    The center is the least key of a bucket's first batch. A key that comes in several batches may be given again.
+    """
     band, center, last = None, 0, 0
     for batch in batches:
         bands, keys = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "key"))
         if not len(bands):
             continue
-        starts = np.concatenate([[bands[0] != band], np.diff(bands) != 0])
-        group = np.cumsum(starts)
-        centers = np.concatenate([[center], keys[starts]])[group]
-        before = np.concatenate([[last], keys[:-1]])
-        more = ~starts & (keys != before)  # a repeat follows its like
+        starts = np.concatenate([[bands[0] != band], bands[1:] != bands[:-1]])
+        several = ~(starts & np.concatenate([starts[1:], [False]]))  # most keys are alone in their bucket; the last bucket may go on
+        bands, keys = bands[several], keys[several]
+        order = np.lexsort((keys, bands))  # bands are in order, so this only orders the keys of each
+        bands, keys = bands[order], keys[order]
+        starts = np.concatenate([[bands[0] != band], bands[1:] != bands[:-1]])
+        centers = np.concatenate([[center], keys[starts]])[np.cumsum(starts)]
+        more = (keys != centers) & np.concatenate([[starts[0] or keys[0] != last], (keys[1:] != keys[:-1]) | (bands[1:] != bands[:-1])])
         yield pa.RecordBatch.from_arrays([pa.array(bands[more]), pa.array(centers[more]), pa.array(keys[more])], ["band", "center", "key"])
         band, center, last = bands[-1], centers[-1], keys[-1]
 
@@ -108,16 +114,40 @@ def jaccard(a: str, b: str) -> float:
     return len(x & y) / len(x | y) if x or y else float(a == b)
 
 
+def _distinct(lines: list[str]) -> Iterator[np.ndarray]:
+    """Each line's different shingle hashes in order."""
+    hashes, lengths = _hashes(lines)
+    ends = np.cumsum(lengths)
+    for start, end in zip(ends - lengths, ends, strict=True):
+        own = np.sort(hashes[start:end - SHINGLE + 1])
+        yield own[np.concatenate([[True], own[1:] != own[:-1]])]
+
+
+def _alike(a: str, b: str, x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two lines, whose different hashes are ``x`` and ``y``, reach the similarity.
+
+    What their hashes share settles what is clear, with room for a hash that two shingles have; near
+    the limit the shingle sets decide.
+    """
+    both = np.sort(np.concatenate([x, y]))
+    total, common = len(x) + len(y), int(np.count_nonzero(both[1:] == both[:-1]))
+    if common + 1 < SIMILARITY * (total - common - 1):
+        return False
+    return common - 1 >= SIMILARITY * (total + 2 - common + 1) or jaccard(a, b) >= SIMILARITY
+
+
+#: Pairs that are verified at a time.
+TURN = 64
+
+
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held, shingles = None, set()
     for batch in batches:
         good = []
-        for a, b in zip(batch.column("norm_a").to_pylist(), batch.column("norm_b").to_pylist(), strict=True):
-            if a != held:
-                held, shingles = a, _shingles(a)
-            other = _shingles(b)
-            common = len(shingles & other)
-            good.append(common >= SIMILARITY * (len(shingles) + len(other) - common))
+        for at in range(0, len(batch), TURN):
+            ones, others = (batch.column(c)[at:at + TURN].to_pylist() for c in ("norm_a", "norm_b"))
+            lines = list(dict.fromkeys(ones + others))
+            of = dict(zip(lines, _distinct(lines), strict=True))
+            good += [_alike(a, b, of[a], of[b]) for a, b in zip(ones, others, strict=True)]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -206,22 +236,18 @@ def _maps(lines: list[str]) -> tuple[np.ndarray, list[np.ndarray]]:
     """Bit map [line, word] of each line's hashed shingles, and each line's different hashes in order."""
     out, hashed = np.zeros((len(lines), MAP_BITS), np.uint8), []
     for at in range(0, len(lines), 64):
-        hashes, lengths = _hashes(lines[at:at + 64])
-        ends = np.cumsum(lengths)
-        for i, (start, end) in enumerate(zip(ends - lengths, ends, strict=True), at):
-            own = np.sort(hashes[start:end - SHINGLE + 1])
+        for i, own in enumerate(_distinct(lines[at:at + 64]), at):
             out[i, (own & np.uint64(MAP_BITS - 1)).view(np.int64)] = 1
-            hashed.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+            hashed.append(own)
     return np.packbits(out, axis=1).view(np.uint64), hashed
 
 
 def cross_links(keys: list[int], components: list[int], sides: list[int], norms: list[str]) -> list[tuple[int, int]]:
     """Links that join lines of different components, enough of them to connect whatever the group connects.
 
-    Pairs on one side only are left to the group that has them on both (sides are equal there). A
-    pair is settled by its shingle sets; before, maps of hashed shingles and then the hashes bound
-    what two lines can share from above, so a pair that they rule out is not similar. The bounds
-    leave room for two shingles of a line with one 64-bit hash.
+    Pairs on one side only are left to the group that has them on both (sides are equal there). Maps
+    of hashed shingles bound what two lines can share from above, so a pair that they rule out is
+    not similar; ``_alike`` settles the others.
     """
     order = sorted(range(len(keys)), key=lambda i: keys[i])
     lines = [norms[i] for i in order]
@@ -231,17 +257,6 @@ def cross_links(keys: list[int], components: list[int], sides: list[int], norms:
     maps, hashed = _maps(lines)
     sizes = np.fromiter(map(len, hashed), np.int64, len(hashed))
     lost = sizes - np.bitwise_count(maps).sum(axis=1, dtype=np.int64) + 1
-    sets: dict[int, set[str]] = {}
-
-    def similar(i: int, j: int) -> bool:
-        both = np.sort(np.concatenate([hashed[i], hashed[j]]))
-        most = np.count_nonzero(both[1:] == both[:-1]) + 1
-        if most < SIMILARITY * (sizes[i] + sizes[j] - most):
-            return False
-        x, y = (sets[k] if k in sets else sets.setdefault(k, _shingles(lines[k])) for k in (i, j))
-        common = len(x & y)
-        return common >= SIMILARITY * (len(x) + len(y) - common)
-
     found = []
     for i in range(len(keys) - 1):
         apart = own[i + 1:] != own[i]
@@ -252,7 +267,7 @@ def cross_links(keys: list[int], components: list[int], sides: list[int], norms:
             most = np.bitwise_count(maps[rest] & maps[i]).sum(axis=1, dtype=np.int64) + np.minimum(lost[rest], lost[i])
             rest = rest[most >= SIMILARITY * (sizes[rest] + sizes[i] - most)]
         for j in rest.tolist():
-            if own[j] != own[i] and similar(i, j):
+            if own[j] != own[i] and _alike(lines[i], lines[j], hashed[i], hashed[j]):
                 found.append((keys[i], keys[j]))
                 own[own == own[j]] = own[i]
     return found
@@ -284,7 +299,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def line_links(lines: DataFrame) -> DataFrame:
     """(node, component) of lines that have a verified near-duplicate.
 
-    Each band bucket is first a star around its least key: star pairs are verified and united.
+    Each band bucket is first a star around one of its keys: star pairs are verified and united.
     Where all lines of a bucket are then connected it holds no further link between components, and
     a bucket of two lines has no pair but the star's. The
     other buckets, each set of lines once, get their lines' texts and are compared in full, except for
@@ -295,11 +310,11 @@ def line_links(lines: DataFrame) -> DataFrame:
     """
     fit = lines.where("fit").select("key", "norm")
     stars = stored(
-        fit.mapInArrow(_bands, "band long, key long").repartition("band").sortWithinPartitions("band", "key").mapInArrow(_stars, "band long, center long, key long"),
+        fit.mapInArrow(_bands, "band long, key long").repartition("band").sortWithinPartitions("band").mapInArrow(_stars, "band long, center long, key long"),
         "line_buckets")
-    edges, texts = _verified(stars.select(F.col("center").alias("a"), F.col("key").alias("b")).distinct(), fit)
+    edges, texts = _verified(stars.select(F.least("center", "key").alias("a"), F.greatest("center", "key").alias("b")).distinct(), fit)
     groups = stored(connected_components(edges), "line_groups")
-    members = stars.select("band", "key").unionByName(stars.select("band", F.col("center").alias("key")).distinct())
+    members = stars.select("band", "key").unionByName(stars.select("band", F.col("center").alias("key"))).distinct()
     labelled = members.join(groups, members.key == groups.node, "left").select("band", "key", F.coalesce("component", "key").alias("c"))
     # bands that have the same lines together need one comparison: their sets are told by size and a sum of hashes
     lines_of_band = F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("lines")

@@ -355,6 +355,35 @@ def test_star_buckets_across_batches():
         assert found == [(1, 5, 7), (2, 1, 9), (2, 1, 11)]
 
 
+def test_star_buckets_whose_keys_come_in_any_order():
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    rows = sorted(((rng.randrange(-40, 40), rng.randrange(12)) for _ in range(300)), key=lambda r: r[0])
+    buckets = {band: {k for b, k in rows if b == band} for band, _ in rows}
+    for size in (1, 2, 7, 50, 300):
+        batches = [pa.RecordBatch.from_pydict({"band": [r[0] for r in rows[i:i + size]], "key": [r[1] for r in rows[i:i + size]]}) for i in range(0, len(rows), size)]
+        found = [tuple(x.values()) for b in line_dedup._stars(iter(batches)) for x in b.to_pylist()]
+        assert all(len({c for b, c, _ in found if b == band}) == (len(keys) > 1) for band, keys in buckets.items())
+        assert {(b, k) for b, c, key in found for k in (c, key)} == {(b, k) for b, keys in buckets.items() if len(keys) > 1 for k in keys}
+        assert all(c != k for _, c, k in found)
+
+
+def test_alike_is_the_exact_similarity():
+    import random
+
+    rng = random.Random(5)
+    for n in (8, 9, 20, 60, 200):
+        for _ in range(60):
+            a = "".join(rng.choice("abcd ") for _ in range(n))
+            at, gone = rng.randrange(n), rng.randrange(1 + n // 5)
+            b = (a[:at] + rng.choice(["", "x", "yy"]) + a[at + gone:]).ljust(8, "z")
+            x, y = line_dedup._distinct([a, b])
+            assert line_dedup._alike(a, b, x, y) == (line_dedup.jaccard(a, b) >= line_dedup.SIMILARITY)
+
+
 # --- quality
 
 
