@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerflow.llm import decontaminate, language_id, line_dedup, piece_nbest, simhash
-from ledgerflow.llm.common import stored, table
+from ledgerflow.llm.common import row_key, stored, table
 
 #: Least mean probability of the predicted language; an even guess among four is 0.25.
 LANGUAGE_SCORE = 0.4
@@ -15,10 +15,13 @@ SURE_CHARS = 50
 
 
 def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is identified; those of no language go, and longer ones of an unsure one. Rows without id go together."""
+    """Documents whose language is identified; those of no language go, and longer ones of an unsure one. Each row has its own verdict, whatever its id."""
     none = F.col("lang_pred") == "und"
-    found = language_id.language_id(docs).where(none | (F.col("score") < LANGUAGE_SCORE)).groupBy(F.col("doc_id").alias("rejected")).agg(F.bool_or(none).alias("no_language"))
-    return docs.join(found, docs["doc_id"].eqNullSafe(found["rejected"]) & (found["no_language"] | (F.length(docs["text"]) >= SURE_CHARS)), "left_anti")
+    model = language_id.fit(docs.where(~language_id.held_out()))
+    verdicts = language_id.identify(docs.select(row_key().alias("doc_id"), "text"), model)
+    found = verdicts.where(none | (F.col("score") < LANGUAGE_SCORE)).groupBy(F.col("doc_id").alias("rejected")).agg(F.bool_or(none).alias("no_language"))
+    keyed = docs.withColumn("row_key", row_key())
+    return keyed.join(found, (keyed["row_key"] == found["rejected"]) & (found["no_language"] | (F.length(keyed["text"]) >= SURE_CHARS)), "left_anti").drop("row_key")
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

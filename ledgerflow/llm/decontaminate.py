@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bound, documents
+from .common import ascii_lower, bound, documents, row_key
 
 WINDOW = 10
 #: Windows of a benchmark that are broadcast at most (about 200 bytes each); a larger set is joined by shuffle.
@@ -97,6 +97,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without contaminated documents, with their columns; a row whose id is null goes if any such row is contaminated."""
-    hits = find_contamination(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hits, docs["doc_id"].eqNullSafe(hits["hit_id"]), "left_anti")
+    """The rows of ``docs`` that are not contaminated, with their columns; each row is judged by its own text, whatever its id."""
+    keyed = docs.select(row_key().alias("doc_id"), "text")
+    hits = find_contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias("hit")).distinct()
+    return docs.join(hits, row_key() == hits["hit"], "left_anti")

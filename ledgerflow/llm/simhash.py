@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import documents, row_key, stored
 from .components import connected_components
 
 SHINGLE_WORDS = 3
@@ -40,7 +40,8 @@ def fingerprint(text: str | None) -> int:
 def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = np.fromiter((fingerprint(x.as_py()) for x in batch.column("text")), np.uint64, batch.num_rows)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fingerprint"])
+        others = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, others), pa.array(found.view(np.int64))], [*others, "fingerprint"])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -166,6 +167,19 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from joined(*held)
 
 
+def _labels(marked: DataFrame) -> DataFrame:
+    """(leaf, root, component_id) of each distinct fingerprint of ``marked``; component_id is the least id of the component."""
+    nodes = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "trie_leaves")
+    # more partitions than cores: a bucket is small, and many near copies then share a task with little else
+    links = (nodes.mapInArrow(_bucketed, "bucket long, fingerprint long").repartition("bucket")
+             .sortWithinPartitions("bucket", "fingerprint").mapInArrow(_links, "a long, b long"))
+    reached = connected_components(links)
+    rooted = nodes.join(reached, nodes.fingerprint == reached.node, "left").select(
+        "fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("root"))
+    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    return rooted.join(lowest, "root").select(F.col("fingerprint").alias("leaf"), "root", "component_id")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) of each row of ``docs``.
 
@@ -181,20 +195,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     returned. An empty table gives no rows; further columns of ``docs`` are not used.
     """
     marked = stored(fingerprints(docs, id_col, text_col), "fingerprints")
-    nodes = stored(marked.groupBy("fingerprint").agg(F.min("doc_id").alias("first_id")), "trie_leaves")
-    # more partitions than cores: a bucket is small, and many near copies then share a task with little else
-    links = (nodes.mapInArrow(_bucketed, "bucket long, fingerprint long").repartition("bucket")
-             .sortWithinPartitions("bucket", "fingerprint").mapInArrow(_links, "a long, b long"))
-    reached = connected_components(links)
-    rooted = nodes.join(reached, nodes.fingerprint == reached.node, "left").select(
-        "fingerprint", "first_id", F.coalesce("component", "fingerprint").alias("root"))
-    lowest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    labels = rooted.join(lowest, "root").select(F.col("fingerprint").alias("leaf"), "component_id")
+    labels = _labels(marked).drop("root")
     return marked.join(labels, marked.fingerprint == labels.leaf, "left").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose id is their component's id, with their columns; ids that are null stay."""
-    members = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(members, docs["doc_id"] == members["dropped"], "left_anti")
+    """One row of each component of ``docs``, with its columns: the first by id, nulls last.
+
+    Rows are ranked by their ids and 64-bit keys, so a null or repeated id decides nothing for other
+    rows that have it. Of rows with equal id and text one is left; they are reduced within their tasks first.
+    """
+    keyed = documents(docs).select("doc_id", "text", row_key().alias("row_key"))
+    marked = stored(keyed.mapInArrow(_fingerprints, "doc_id long, row_key long, fingerprint long"), "fingerprints")
+    rows = marked.groupBy("fingerprint", "doc_id", "row_key").agg(F.count("*").alias("n"))
+    labels = _labels(marked)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "n")).alias("first")
+    kept = stored(rows.join(labels, rows.fingerprint == labels.leaf).groupBy("root").agg(first).select(F.col("first.row_key").alias("kept_key"), "first.n"), "kept_rows")
+    names = docs.columns
+    once = docs.join(kept.where("n = 1"), row_key() == kept["kept_key"], "left_semi")
+    if kept.where("n > 1").isEmpty():
+        return once
+    equal = docs.join(kept.where("n > 1"), row_key() == kept["kept_key"]).groupBy("kept_key").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
+    return once.unionByName(equal.select("row.*"))

@@ -53,3 +53,20 @@ def test_registered_queries():
     names = list(queries.queries())
     assert [n.split("_")[0] for n in names] == [f"op{n}" for n in range(1, 11)] + ["pipeline"]
     assert set(queries.oracle_sql()) <= set(names)
+
+
+def test_rows_that_share_an_id_have_their_own_verdicts(spark, tmp_path):
+    rng = random.Random(7)
+    text = [prose(rng, "en", 60) for _ in range(6)]
+    item = prose(rng, "en", 25)
+    rows = [(None, text[0], "en"), (None, "123 456 !!", "en"), (None, text[1] + " " + item, "en"), (None, text[2], "en"), (None, text[2], "en")]
+    rows += [(8, text[3], "en"), (8, text[4], "en"), (8, text[4], "en"), (8, "!!", "en"), (8, text[5] + " " + item, "en"), (5, text[3], "en")]
+    tables(spark, str(tmp_path), rows, [(1, item)])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    texts = lambda df: sorted(r.text for r in df.collect())
+    letters = [t for _, t, _ in rows if "!!" not in t]
+    assert texts(corpus_pipeline.identified(spark, docs, str(tmp_path))) == sorted(letters)
+    assert texts(corpus_pipeline.without_benchmarks(spark, docs, str(tmp_path))) == sorted(t for _, t, _ in rows if item not in t)
+    kept = corpus_pipeline.one_of_each(spark, docs.where("text not like '%!!'"), str(tmp_path))
+    assert kept.columns == docs.columns and texts(kept) == sorted(set(letters))
+    assert {r.doc_id for r in kept.collect() if r.text == text[3]} == {5}  # the unique texts of id 8 stay
