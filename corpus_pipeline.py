@@ -41,8 +41,8 @@ def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The n-best segmentations of the documents that are left."""
-    return piece_nbest.segment_nbest(docs)
+    """The n-best segmentations of the documents that are left, with their ids and the decoded text."""
+    return piece_nbest.segment_nbest(docs, with_ids=True)
 
 
 STAGES = [

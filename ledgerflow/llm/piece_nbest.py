@@ -24,6 +24,10 @@ NBEST = 4
 MEMORY, KEPT_CHARS = 500_000, 32
 #: Characters of the texts that a task works on together.
 TOGETHER = 2_000_000
+#: Arrow types of the columns of a result; a text without pieces has sums that are whole numbers to Python.
+TYPES = {
+    "n_pieces": pa.int64(), "score": pa.float64(), "nbest_scores": pa.list_(pa.float64()), "nbest_sizes": pa.list_(pa.int64()), "ids_sha256": pa.string(), "round_trip": pa.bool_(),
+    "decoded": pa.string(), "nbest_sha256": pa.list_(pa.string()), "ids": pa.list_(pa.list_(pa.int32()))}
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -266,6 +270,25 @@ def nbest(pieces: Pieces, memory: Memory, text: str, count: int) -> list[tuple[f
     return [(score, [x for i, ids in enumerate(own) for x in changed.get(i, ids)]) for score, changed in choose(pieces, segments, scores, own, losses, count)]
 
 
+def spliced(packed: bytes, own: tuple, changed: dict[int, tuple[int, ...]]) -> bytes:
+    """32-bit ids of a segmentation: those of the best one, with the changed segments' put in their places."""
+    parts, done = [], 0
+    for i, ids in sorted(changed.items()):
+        start = 4 * sum(map(len, own[:i]))
+        parts += [packed[done:start], array.array("i", ids).tobytes()]
+        done = start + 4 * len(own[i])
+    return b"".join([*parts, packed[done:]]) if parts else packed
+
+
+def id_lists(rows: list[list[bytes]]) -> pa.Array:
+    """Lists of lists of 32-bit ids, from their bytes."""
+    flat = list(chain.from_iterable(rows))
+    inner = np.cumsum([0, *(len(x) // 4 for x in flat)])
+    outer = np.cumsum([0, *map(len, rows)])
+    lists = pa.ListArray.from_arrays(pa.array(inner, pa.int32()), pa.array(np.frombuffer(b"".join(flat), np.int32)))
+    return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)
+
+
 def _segmenter(model: str, count: int, with_ids: bool):
     def one(pieces: Pieces, memory: Memory, text: str, segments: list[str]) -> tuple:
         scores, own, losses = memory.parts(segments)
@@ -273,36 +296,44 @@ def _segmenter(model: str, count: int, with_ids: bool):
         best = list(chain.from_iterable(own))
         sizes = [len(best) + sum(len(ids) - len(own[i]) for i, ids in changed.items()) for _, changed in found]
         # another segmentation differs from the best one in the changed segments only
-        same = pieces.decode(best) == text and all(pieces.raw(ids) == segments[i] for _, changed in found for i, ids in changed.items())
-        every = [[x for i, ids in enumerate(own) for x in changed.get(i, ids)] for _, changed in found] if with_ids else None
-        return len(best), found[0][0], [s for s, _ in found], sizes, hashlib.sha256(array.array("i", best).tobytes()).hexdigest(), same, every
+        decoded = pieces.decode(best)
+        same = decoded == text and all(pieces.raw(ids) == segments[i] for _, changed in found for i, ids in changed.items())
+        packed = array.array("i", best).tobytes()
+        known = (len(best), found[0][0], [s for s, _ in found], sizes, hashlib.sha256(packed).hexdigest(), same)
+        if not with_ids:
+            return known
+        every = [spliced(packed, own, changed) for _, changed in found]
+        return *known, decoded, [hashlib.sha256(x).hexdigest() for x in every], every
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = Pieces(public_tokenizers.path(model))
         memory = Memory(pieces)
-        names = ["n_pieces", "score", "nbest_scores", "nbest_sizes", "ids_sha256", "round_trip", *(["ids"] if with_ids else [])]
+        names = ["n_pieces", "score", "nbest_scores", "nbest_sizes", "ids_sha256", "round_trip", *(["decoded", "nbest_sha256", "ids"] if with_ids else [])]
         for batch in batches:
-            ids, rows, at = batch.column("doc_id").to_pylist(), [], 0
+            at = 0
             while at < batch.num_rows:
                 texts, size = [], 0
                 while at + len(texts) < batch.num_rows and size < TOGETHER:
                     texts.append(batch.column("text")[at + len(texts)].as_py() or "")
                     size += len(texts[-1])
+                ids = batch.column("doc_id")[at:at + len(texts)]
                 at += len(texts)
                 if len(memory) > MEMORY:
                     memory.clear()
                 cut = [SEGMENT.findall(marked(t)) for t in texts]
                 fresh = {s for s in set(chain.from_iterable(cut)) if s not in memory and len(s) <= KEPT_CHARS}
                 memory.update(pieces.forward_many(list(fresh)))
-                rows += [one(pieces, memory, t, s) for t, s in zip(texts, cut, strict=True)]
-            columns = list(zip(*rows, strict=True)) if rows else [[]] * 7
-            yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64())} | dict(zip(names, map(list, columns), strict=False)))
+                columns = dict(zip(names, map(list, zip(*(one(pieces, memory, t, s) for t, s in zip(texts, cut, strict=True)), strict=True)), strict=True))
+                if with_ids:
+                    columns["ids"] = id_lists(columns["ids"])
+                yield pa.RecordBatch.from_pydict({"doc_id": ids} | columns, schema=pa.schema([("doc_id", pa.int64()), *((c, TYPES[c]) for c in columns)]))
 
     return run
 
 
 def segment_nbest(docs: DataFrame, model: str = "piece_bpe_32k.model", count: int = NBEST, with_ids: bool = False) -> DataFrame:
-    """(doc_id, n_pieces, score, nbest_scores, nbest_sizes, ids_sha256, round_trip) of each row, and ``ids`` on demand.
+    """(doc_id, n_pieces, score, nbest_scores, nbest_sizes, ids_sha256, round_trip) of each row, and on demand
+    ``decoded`` (the text that the best one's pieces give), ``nbest_sha256`` and ``ids`` of every segmentation.
 
     The ``count`` segmentations of the whole text with the highest sums of piece scores, best
     first; n_pieces, score and ids_sha256 (of the ids as 32-bit integers) are the best one's. round_trip says
@@ -313,4 +344,4 @@ def segment_nbest(docs: DataFrame, model: str = "piece_bpe_32k.model", count: in
     columns are not used. Documents are independent: no shuffle.
     """
     schema = "doc_id long, n_pieces long, score double, nbest_scores array<double>, nbest_sizes array<long>, ids_sha256 string, round_trip boolean"
-    return documents(docs).mapInArrow(_segmenter(model, count, with_ids), schema + (", ids array<array<long>>" if with_ids else ""))
+    return documents(docs).mapInArrow(_segmenter(model, count, with_ids), schema + (", decoded string, nbest_sha256 array<string>, ids array<array<int>>" if with_ids else ""))

@@ -49,7 +49,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_piece_nbest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return piece_nbest.segment_nbest(table(spark, sf_dir, "documents"))
+    return piece_nbest.segment_nbest(table(spark, sf_dir, "documents"), with_ids=True)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

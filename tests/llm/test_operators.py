@@ -11,7 +11,7 @@ import pytest
 import public_tokenizers
 import xxhash
 
-from ledgerflow.llm import bloom_lm, components, decontaminate, html_text, language_id, line_dedup, piece_nbest, quality, simhash, token_count, training_order
+from ledgerflow.llm import bloom_lm, components, decontaminate, html_text, language_id, line_dedup, piece_nbest, quality, queries, simhash, token_count, training_order
 from ledgerflow.llm.common import shared_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, row long, key long, band long, digest string"
@@ -472,6 +472,19 @@ def test_segmentation_round_trip(spark, edges, nothing):
     assert piece_nbest.segment_nbest(nothing).count() == 0
 
 
+def test_query_returns_all_segmentations(spark, tmp_path, pieces):
+    texts = [(1, "the cat  sat on\nthe mat"), (2, "Ünïcode ß 𝄞 é " * 3), (3, None), (4, ""), (None, "a  b"), (5, "word " * 3000)]
+    documents(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {r.doc_id: r for r in queries.op9_piece_nbest(spark, str(tmp_path)).collect()}
+    memory = piece_nbest.Memory(pieces)
+    for i, text in texts:
+        whole = piece_nbest.nbest(pieces, memory, text or "", piece_nbest.NBEST)
+        row = found[i]
+        assert row.decoded == (text or "") and row.nbest_scores == [s for s, _ in whole] and row.ids == [ids for _, ids in whole]
+        assert row.nbest_sha256 == [hashlib.sha256(np.array(ids, np.int32).tobytes()).hexdigest() for _, ids in whole]
+        assert row.nbest_sha256[0] == row.ids_sha256 and row.nbest_sizes == list(map(len, row.ids)) and len(set(row.nbest_sha256)) == len(whole)
+
+
 # --- simhash
 
 
