@@ -26,7 +26,7 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document or line has; a document with no line left goes."""
-    out = line_dedup.drop_repeated_lines(docs)
+    out = line_dedup.drop_repeated_lines(docs, all_lines=True)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -17,7 +18,7 @@ SHINGLE = 8
 SIMILARITY = 0.8
 #: 12 bands of 4: a pair of similarity 0.8 shares a band with probability 0.998, one of 0.9 with 0.99999.
 BANDS, ROWS = 12, 4
-#: Lines of fewer words are left alone: headings and short phrases repeat without being copies.
+#: Lines of fewer words are left alone unless all lines are wanted: headings and short phrases repeat without being copies.
 MIN_WORDS = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -151,7 +152,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _split(batches: Iterator[pa.RecordBatch], all_lines: bool) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, hashes = batch.column("doc_id").to_pylist(), batch.column("text_hash").to_pylist()
         rows = ([], [], [], [])
@@ -162,24 +163,25 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for column, values in zip(rows, ([doc_id] * len(own), [text_hash] * len(own), range(len(own)), own), strict=True):
                 column.extend(values)
             if len(rows[0]) >= 8192:
-                yield _line_batch(*rows)
+                yield _line_batch(*rows, all_lines)
                 rows = ([], [], [], [])
         if rows[0]:
-            yield _line_batch(*rows)
+            yield _line_batch(*rows, all_lines)
 
 
-def _line_batch(ids: list, hashes: list, numbers: list[int], norms: list[str]) -> pa.RecordBatch:
+def _line_batch(ids: list, hashes: list, numbers: list[int], norms: list[str], all_lines: bool) -> pa.RecordBatch:
     keys = np.fromiter((xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in norms), np.uint64, len(norms)).view(np.int64)
-    fit = [x.count(" ") >= MIN_WORDS - 1 and len(x) >= SHINGLE for x in norms]
+    fit = [(all_lines or x.count(" ") >= MIN_WORDS - 1) and len(x) >= SHINGLE for x in norms]
+    exact = [x != "" for x in norms] if all_lines else fit
     return pa.RecordBatch.from_arrays(
-        [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(norms, pa.string()), pa.array(keys), pa.array(fit, pa.bool_())],
-        ["doc_id", "text_hash", "line_no", "norm", "key", "fit"])
+        [pa.array(ids, pa.int64()), pa.array(hashes, pa.int64()), pa.array(numbers, pa.int32()), pa.array(norms, pa.string()), pa.array(keys), pa.array(fit, pa.bool_()), pa.array(exact, pa.bool_())],
+        ["doc_id", "text_hash", "line_no", "norm", "key", "fit", "exact"])
 
 
-def lines_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, line_no, norm, key, fit) of every line, written once; fit: long enough to be compared."""
+def lines_of(docs: DataFrame, all_lines: bool = False) -> DataFrame:
+    """(doc_id, text_hash, line_no, norm, key, fit, exact) of every line, written once; fit: long enough to be compared, exact: may equal another."""
     rows = documents(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return stored(rows.mapInArrow(_split, "doc_id long, text_hash long, line_no int, norm string, key long, fit boolean"), "lines")
+    return stored(rows.mapInArrow(partial(_split, all_lines=all_lines), "doc_id long, text_hash long, line_no int, norm string, key long, fit boolean, exact boolean"), "lines")
 
 
 #: Bits of the map by which lines are sifted before a shuffle: 8 MB, whatever the number of lines.
@@ -334,27 +336,29 @@ def line_links(lines: DataFrame) -> DataFrame:
     return stored(now.join(above, now.component == above.of, "left").select("node", F.coalesce("root", "component").alias("component")), "line_groups")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, all_lines: bool = False) -> DataFrame:
     """(doc_id, text_hash, line_no, class_doc_id, class_line_no, kept) of every line of every document.
 
     Lines are compared in lower case with white space collapsed. Lines that are equal, or whose
     8-character shingles have a Jaccard similarity of 0.8 or more, are linked, and linked lines are a
     class; its first line by (doc_id, line_no) is kept and names the class. Lines of fewer than five
-    words or eight characters, empty ones included, are always kept and are their own class. Equal
+    words or eight characters, empty ones included, are always kept and are their own class; with
+    ``all_lines`` only empty ones are: every other line is in the class of its equals, and lines of
+    eight characters or more are compared, however few blanks they have. Equal
     lines are one node (a 64-bit hash of the line), counted within each task before the shuffle.
 
     A null text has no lines, an empty one has one empty line. A null id comes after all others.
     Repeated rows share the place of their lines, so copies of one row under one id are treated
     alike. Other columns are not used; an empty table gives no rows.
     """
-    lines = lines_of(docs)
+    lines = lines_of(docs, all_lines)
     groups = line_links(lines)
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line_no", "text_hash")
-    firsts = lines.where("fit").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
+    firsts = lines.where("exact").groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n"))
     classes = firsts.join(groups, firsts.key == groups.node, "left").select("key", "first", "n", F.coalesce("component", "key").alias("class"))
     keepers = classes.groupBy("class").agg(F.min("first").alias("keep"), F.sum("n").alias("n")).where("n > 1")  # a class of one line decides nothing
     known = classes.join(keepers.drop("n"), "class").select(F.col("key").alias("line_key"), "keep")
-    found = lines.select("doc_id", "text_hash", "line_no", "key", "fit").join(known, F.col("fit") & (F.col("key") == F.col("line_key")), "left")
+    found = lines.select("doc_id", "text_hash", "line_no", "key", "exact").join(known, F.col("exact") & (F.col("key") == F.col("line_key")), "left")
     itself = F.col("keep").isNull()
     return found.select(
         "doc_id", "text_hash", "line_no", F.when(itself, F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("class_doc_id"),
@@ -362,9 +366,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
         (itself | F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line_no") == F.col("keep.line_no")) & (F.col("text_hash") == F.col("keep.text_hash"))).alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, all_lines: bool = False) -> DataFrame:
     """``docs`` with the lines that are not kept taken out of their texts; a document that loses all its lines goes."""
-    dropped = dedup_lines(docs).where("not kept").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lines"))
+    dropped = dedup_lines(docs, all_lines).where("not kept").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lines"))
     dropped = dropped.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "lines")
     hits = docs["doc_id"].cast("long").eqNullSafe(dropped["of_doc"]) & (F.xxhash64(docs["text"].cast("string")) == dropped["of_text"])
     names = docs.columns

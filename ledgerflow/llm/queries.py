@@ -41,7 +41,7 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(table(spark, sf_dir, "documents")).drop("text_hash")
+    return line_dedup.dedup_lines(table(spark, sf_dir, "documents"), all_lines=True).drop("text_hash")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

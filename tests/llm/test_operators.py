@@ -345,6 +345,16 @@ def test_texts_without_repeated_lines(spark):
     assert {r.doc_id: r.text for r in out.collect()} == {1: line + "\nshort", 3: "other words that are no copy at all, none\n", 4: None, 5: "", 6: "short"}
 
 
+def test_query_has_short_lines_and_lines_without_blanks(spark, tmp_path):
+    long = "".join(chr(0x4E00 + 37 * i % 5000) for i in range(60))
+    near = long[:-1] + "x"
+    rows = [(1, f"Short\n\n{long}\nA heading here"), (2, f"short\n\n{near}\nfresh"), (3, f"A  heading here\n{long}\nno")]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    found = {(r.doc_id, r.line_no): (r.class_doc_id, r.class_line_no, r.kept) for r in queries.op7_line_dedup(spark, str(tmp_path)).collect()}
+    first = {(2, 0): (1, 0), (2, 2): (1, 2), (3, 0): (1, 3), (3, 1): (1, 2)}
+    assert found == {(i, k): (*first.get((i, k), (i, k)), (i, k) not in first) for i, t in rows for k in range(len(t.split("\n")))}
+
+
 def test_star_buckets_across_batches():
     import pyarrow as pa
 
