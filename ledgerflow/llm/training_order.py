@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import array
 import base64
 import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -14,6 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .bpe import Encoder, portions
 from .common import documents, stored
 
 END_OF_TEXT = 50256
@@ -49,27 +50,30 @@ def permute(ordinals: np.ndarray, size: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _tokenizer(name: str):
+@cache
+def _encoder(name: str) -> Encoder:
+    """The encoder of a rank file; a worker that runs several tasks keeps it."""
     import tiktoken
 
     with open(public_tokenizers.path(name), "rb") as file:
         ranks = {base64.b64decode(word): int(rank) for word, rank in (line.split() for line in file)}
-    return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    encode = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return Encoder(lambda texts: [encode(x) for x in texts])
 
 
 def _counter(name: str, seq_len: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, total = _tokenizer(name).encode_ordinary, 0
+        encoder, total = _encoder(name), 0
         for batch in batches:
-            for text in batch.column("text"):
-                if n := len(encode(text.as_py() or "")):
-                    total += -(-(n + 1) // seq_len)
+            for _, texts in portions(batch):
+                n = encoder.counts(texts)
+                total += int((-(-(n + 1) // seq_len))[n > 0].sum())
         yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "n": [total]})
 
     return count
 
 
-def _sequencer(name: str, seq_len: int, base: dict[int, int], counts: dict[int, int], size: int, key: int, rows_per_shard: int):
+def _sequencer(name: str, seq_len: int, shared, size: int, key: int, rows_per_shard: int):
     def emit(ids: list, numbers: list, lengths: list, payloads: list, first: int) -> pa.RecordBatch:
         slots = permute(np.arange(first, first + len(ids)), size, key)
         return pa.RecordBatch.from_arrays(
@@ -77,22 +81,24 @@ def _sequencer(name: str, seq_len: int, base: dict[int, int], counts: dict[int,
             ["shard_id", "slot", "doc_id", "seq_no", "n_tokens", "tokens"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = _tokenizer(name).encode_ordinary, TaskContext.get().partitionId()
-        at, rows = base[part], ([], [], [], [])
+        encoder, (first, end) = _encoder(name), shared.value[TaskContext.get().partitionId()]
+        at, rows = first, ([], [], [], [])
         for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text"), strict=True):
-                if not (tokens := encode(text.as_py() or "")):
-                    continue
-                tokens.append(END_OF_TEXT)
-                packed = np.frombuffer(array.array("H", tokens), np.uint16).astype("<u2").tobytes()
-                for k in range(0, len(packed), 2 * seq_len):
-                    piece = packed[k:k + 2 * seq_len]
-                    for x, y in zip(rows, (doc_id, k // (2 * seq_len), len(piece) // 2, piece), strict=True):
-                        x.append(y)
+            for start, texts in portions(batch):
+                tokens, edges = encoder.ids(texts)
+                packed, edges = tokens.astype("<u2").tobytes(), (2 * edges).tolist()
+                for doc_id, lo, hi in zip(batch.column("doc_id").slice(start, len(texts)).to_pylist(), edges, edges[1:], strict=False):
+                    if lo == hi:
+                        continue
+                    own = packed[lo:hi] + END_OF_TEXT.to_bytes(2, "little")
+                    for k in range(0, len(own), 2 * seq_len):
+                        piece = own[k:k + 2 * seq_len]
+                        for x, y in zip(rows, (doc_id, k // (2 * seq_len), len(piece) // 2, piece), strict=True):
+                            x.append(y)
                 if len(rows[0]) >= 8192:
                     yield emit(*rows, at)
                     at, rows = at + len(rows[0]), ([], [], [], [])
-        if at + len(rows[0]) - base[part] != counts[part]:
+        if at + len(rows[0]) != end:
             raise ValueError("the input's partitions changed between the two passes; call with stable=False")
         if rows[0]:
             yield emit(*rows, at)
@@ -127,12 +133,12 @@ def materialise(docs: DataFrame, out: str, key: int = 0x5EED, seq_len: int = 256
     if not stable:
         rows = stored(rows, "sequence_input")
     counts = {r.part: r.n for r in rows.mapInArrow(_counter(tokenizer, seq_len), "part long, n long").collect()}
-    base, size = {}, 0
+    places, size = {}, 0
     for part in sorted(counts):
-        base[part], size = size, size + counts[part]
+        places[part], size = (size, size + counts[part]), size + counts[part]
     if size:
         shards = -(-size // rows_per_shard)
-        placed = rows.mapInArrow(_sequencer(tokenizer, seq_len, base, counts, size, key, rows_per_shard), SEQUENCE)
+        placed = rows.mapInArrow(_sequencer(tokenizer, seq_len, spark.sparkContext.broadcast(places), size, key, rows_per_shard), SEQUENCE)
         number = lambda x, digits: F.unhex(F.lpad(F.hex(x.cast("long") if digits == 16 else x), digits, "0"))
         record = F.concat(
             number(F.col("slot"), 16), number(F.coalesce("doc_id", F.lit(0)), 16), number(F.col("seq_no"), 8), number(F.col("n_tokens"), 8),
