@@ -5,6 +5,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -23,108 +24,185 @@ ENDS = {
     "li": ("li", "ul ol menu dir"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"),
     "tbody": ("tbody thead tfoot tr td th", "table"), "tfoot": ("tbody thead tfoot tr td th", "table"), "option": ("option", "select datalist optgroup"), "body": ("head", "html"),
 }
-#: Elements that are never article text.
-NOT_TEXT = frozenset(
-    "nav footer aside form script style textarea title xmp iframe noembed noframes noscript template head select button input datalist dialog svg math canvas audio video object menu".split())
-#: Words of a class, id or role that mark page furniture and reader comments.
-FURNITURE = frozenset(
-    "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar breadcrumb breadcrumbs footer masthead "
+_LIMITS = frozenset("table td th caption button article section div main".split())
+#: For each opening tag: what it ends, and what bounds the search for it.
+BOUNDS = {"": (frozenset(["p"]), _LIMITS)}
+for _name, (_ends, _bounds) in ENDS.items():
+    _ended = frozenset(_ends.split()) | (frozenset(["p"]) if _name in CLOSES_P else frozenset())
+    BOUNDS[_name] = _ended, (_LIMITS | frozenset(_bounds.split())) - _ended
+RAW_END = {name: re.compile(rf"</{name}\b[^>]*>", re.I) for name in RAW}
+#: Elements that are never shown as text.
+NOT_SHOWN = frozenset("script style textarea title xmp iframe noembed noframes noscript template head select button input datalist svg math canvas audio video object".split())
+#: Elements that are not the article, whatever they hold.
+NOT_ARTICLE = frozenset("nav footer aside form dialog menu".split())
+#: Names that say that an element is beside the article, and words that may stand with them in a name.
+BESIDE = frozenset(
+    "ad ads advert advertisement adverts advertising sponsor sponsored promo promotion banner nav navbar navigation menu sidebar breadcrumb breadcrumbs footer masthead topbar "
     "cookie cookies consent notice notification alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist disqus respond replies "
     "share sharing social related recommended pagination pager toolbar widget complementary contentinfo".split())
-HEADER = frozenset(["header", "topbar"])
-CONTENT = frozenset(["article", "main"])
+PLAIN = frozenset("box wrapper container list section block bar area slot inner outer left right top bottom links buttons form items panel unit thread".split())
+#: Elements inside a line of text; they neither count as tags nor are content of their own.
+INLINE = frozenset("abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+SECTIONS = frozenset(["article", "main", "section"])
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Share of the page's text that must be left for the names to be believed, and share of its density that a node may lose to its parent's.
+LEFT, CLIMB = 0.1, 0.7
+#: Elements nest as deep as browsers let them; deeper ones are taken side by side.
+DEEPEST = 512
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^'\">]|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"""(?:^|[\s"'])(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
-WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+ATTRIBUTE = re.compile(r"[\s/]*(=?[^\s/>=]*)(?:\s*=\s*(?![\s=])([\"']|[^\s>\"'][^\s>]*)?)?")
 
 
 class Node:
     """An element; parts are its texts and elements in page order."""
 
-    __slots__ = ("tag", "marks", "parts", "parent", "chars", "link_chars", "tags", "link_tags", "density", "total")
+    __slots__ = ("tag", "marks", "parts", "parent", "depth", "chars", "link_chars", "tags", "link_tags", "density", "total")
 
     def __init__(self, tag: str, marks: frozenset = frozenset(), parent: Node | None = None) -> None:
         self.tag, self.marks, self.parts, self.parent = tag, marks, [], parent
-
-
-def _marks(attributes: str) -> frozenset:
+        self.depth = parent.depth + 1 if parent else 0
+
+    @property
+    def children(self) -> list[Node]:
+        return [x for x in self.parts if not isinstance(x, str)]
+
+
+class Finder:
+    """Places of strings in a page; what isn't found once is not looked for again further on."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.missing = page, set()
+
+    def __call__(self, what: str, at: int) -> int:
+        if what in self.missing:
+            return -1
+        if (found := self.page.find(what, at)) < 0:
+            self.missing.add(what)
+        return found
+
+
+def _tag(page: str, find: Finder, at: int) -> tuple[int, list[tuple[str, str]]]:
+    """End of the tag whose name ends at ``at``, and its attributes; -1 where it does not end."""
+    found = []
+    if find(">", at) < 0:
+        return -1, found
+    while True:
+        hit = ATTRIBUTE.match(page, at)
+        name, value, at = hit[1].lower(), hit[2] or "", hit.end()
+        if value in ("'", '"'):
+            if (end := find(value, at)) < 0:  # an open quote: the tag ends at the next bracket
+                end = find(">", at)
+                return (end + 1 if end >= 0 else -1), found
+            value, at = page[at:end], end + 1
+        if name:
+            found.append((name, value))
+        if at >= len(page):
+            return -1, found
+        if page[at] == ">":
+            return at + 1, found
+        if hit.end() == hit.start():  # a character that starts no attribute
+            at += 1
+
+
+def _marks(attributes: list[tuple[str, str]]) -> frozenset:
     found = set()
-    for name, *values in ATTRIBUTE.findall(attributes):
-        value = next((v for v in values if v), "")
-        if name.lower() == "hidden" or name.lower() == "aria-hidden" and value == "true":
+    for name, value in attributes:
+        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and "display:none" in value.lower().replace(" ", ""):
             found.add("hidden")
-        elif name.lower() in ("class", "id", "role"):
-            found.update(w.lower() for w in WORD.findall(value))
+        elif name in ("class", "id", "role"):
+            for one in value.lower().split():
+                words = set(re.split(r"[-_]+", one)) - {""}
+                if not words.isdisjoint(BESIDE) and words <= BESIDE | PLAIN:
+                    found.add("beside")
     return frozenset(found)
 
 
 def parse(page: str) -> Node:
-    """Tree of a page; end tags that HTML lets a page omit are implied, stray ones are skipped."""
+    """Tree of a page; end tags that HTML lets a page omit are implied, stray ones are skipped. The time is in proportion to the page."""
     root = node = Node("#root")
-    at, skip_to = 0, None
-    for found in TOKEN.finditer(page):
-        if skip_to is not None and found.start() < skip_to:
+    find, at, text_from = Finder(page), 0, 0
+    open_count: Counter[str] = Counter()
+
+    def leave(to: Node) -> Node:
+        """``to`` is open again, what is open below it ends."""
+        here = node
+        while here is not to:
+            open_count[here.tag] -= 1
+            here = here.parent
+        return to
+
+    while (start := find("<", at)) >= 0:
+        closing = page.startswith("/", start + 1)
+        hit = NAME.match(page, start + 1 + closing)
+        if not hit:
+            if not closing and not page.startswith(("!", "?"), start + 1):
+                at = start + 1  # a lone bracket is text
+                continue
+            comment = page.startswith("<!--", start)
+            end = find("-->" if comment else ">", start + 2)
+            end, attributes = (len(page) if comment else -1) if end < 0 else end + (3 if comment else 1), []
+        else:
+            end, attributes = _tag(page, find, hit.end())
+        if end < 0:
+            at = start + 1
             continue
-        skip_to = None
-        if found.start() > at:
-            node.parts.append(page[at:found.start()])
-        at = found.end()
-        closing, name, attributes = found.groups()
-        if not name:
+        if start > text_from:
+            node.parts.append(page[text_from:start])
+        at = text_from = end
+        if not hit:
             continue
-        name = name.lower()
+        name = hit[0].lower()
         if closing:
-            open_ = node
-            while open_ is not root and open_.tag != name:
-                open_ = open_.parent
-            if open_ is not root:
-                node = open_.parent
+            if open_count[name]:
+                up = node
+                while up.tag != name:
+                    up = up.parent
+                node = leave(up.parent)
             continue
         if name in CLOSES_P or name in ENDS:
-            ends, bounds = ENDS.get(name, ("", ""))
-            ends, bounds = {*ends.split(), *(["p"] if name in CLOSES_P else [])}, {*bounds.split(), "table", "td", "th", "caption", "button", "article", "section", "div", "main"} - {*ends.split()}
-            open_ = node
-            while open_ is not root and open_.tag not in bounds:
-                if open_.tag in ends:
-                    node = open_.parent
-                open_ = open_.parent
+            ends, bounds = BOUNDS.get(name, BOUNDS[""])
+            if any(open_count[x] for x in ends):
+                up, to = node, node
+                while up is not root and up.tag not in bounds:
+                    if up.tag in ends:
+                        to = up.parent
+                    up = up.parent
+                node = leave(to)
+        if node.depth >= DEEPEST:
+            node = leave(node.parent)
         child = Node(name, _marks(attributes) if attributes else frozenset(), node)
         node.parts.append(child)
         if name in VOID:
             continue
         if name in RAW:
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            at = skip_to = end.end() if end else len(page)
+            close = RAW_END[name].search(page, at)
+            at = text_from = close.end() if close else len(page)
             continue
-        if not attributes.rstrip().endswith("/") or name not in ("svg", "math", "path"):
-            node = child
-    if at < len(page):
-        node.parts.append(page[at:])
+        if name in ("svg", "math", "path") and page.endswith("/>", start, end):
+            continue
+        node = child
+        open_count[name] += 1
+    if text_from < len(page):
+        node.parts.append(page[text_from:])
     return root
 
 
-def _furniture(node: Node, inside: bool) -> bool:
-    """inside: within an article or main element, where a header belongs to the text."""
-    if node.tag in CONTENT or node.tag in ("html", "body"):
-        return node.tag in CONTENT and not node.marks.isdisjoint(("comment", "comments", "ad", "hidden"))
-    return node.tag in NOT_TEXT or "hidden" in node.marks or not node.marks.isdisjoint(FURNITURE) or not inside and (node.tag == "header" or not node.marks.isdisjoint(HEADER))
-
-
-def _prune(root: Node) -> None:
+def _keep(root: Node, keep) -> None:
+    """Take the subtrees whose node ``keep`` refuses out of the tree; it is told whether the node is inside an article."""
     todo = [(root, False)]
     while todo:
         node, inside = todo.pop()
-        inside = inside or node.tag in CONTENT
-        node.parts = [x for x in node.parts if isinstance(x, str) or not _furniture(x, inside)]
-        todo += [(x, inside) for x in node.parts if not isinstance(x, str)]
+        inside = inside or node.tag in SECTIONS
+        node.parts = [x for x in node.parts if isinstance(x, str) or keep(x, inside)]
+        todo += [(x, inside) for x in node.children]
 
 
 def _measure(root: Node) -> list[Node]:
     """Characters, tags and composite density of every node; the nodes, children before parents."""
     order = [root]
     for node in order:
-        order += [x for x in node.parts if not isinstance(x, str)]
+        order += node.children
     order.reverse()
     for node in order:
         node.chars = node.link_chars = node.tags = node.link_tags = 0
@@ -133,14 +211,14 @@ def _measure(root: Node) -> list[Node]:
                 node.chars += len("".join(x.split()))
             else:
                 node.chars += x.chars
-                node.tags += x.tags + 1
+                node.tags += x.tags + (x.tag not in INLINE)
                 node.link_chars += x.link_chars
                 node.link_tags += x.link_tags + (x.tag == "a")
         if node.tag == "a":
             node.link_chars = node.chars
     body_links, body_chars = root.link_chars, max(1, root.chars)
     for node in order:
-        node.total = sum(x.density for x in node.parts if not isinstance(x, str))
+        node.total = sum(x.total if x.tag in INLINE else x.density for x in node.children)
         if not node.chars:
             node.density = 0.0
             continue
@@ -157,45 +235,48 @@ def _largest(node: Node) -> Node:
     best, todo = node, [node]
     while todo:
         x = todo.pop()
-        if x.total > best.total:
+        if x.total > best.total and x.tag not in INLINE:
             best = x
-        todo += [y for y in reversed(x.parts) if not isinstance(y, str)]
+        todo += reversed(x.children)
     return best
 
 
 def select(root: Node) -> list[Node]:
     """Content nodes in page order.
 
-    The node with the greatest sum of child densities is content; the least density on its path
-    from the body is the threshold, and beside that path a subtree that reaches it gives its own
-    maximum. An article or main element around the maximum is taken whole.
+    The node with the greatest sum of child densities is content, or the highest node above it,
+    below the body, as long as each step keeps the share ``CLIMB`` of the density: sections of one
+    article are as dense as the article. The least density on the path from there to the body is
+    the threshold, and beside that path a subtree that reaches it gives its own maximum, and
+    headings right before a content node go with it.
     """
     nodes = _measure(root)
     body = next((x for x in reversed(nodes) if x.tag == "body"), root)
     top = _largest(body)
-    if not top.total:
+    if not top.total or top is body:
         return [body]
+    while top.parent is not body and top.parent.density >= CLIMB * top.density:
+        top = top.parent
     path = [top]
     while path[-1] is not body:
         path.append(path[-1].parent)
-    for x in path:
-        if x.tag in CONTENT:
-            return [x]
-    threshold = min(x.density for x in path[:-1]) if len(path) > 1 else 0.0
-    if len(path) == 1:
-        return [body]
-    kept = {id(top)}
+    threshold, kept = min(x.density for x in path[:-1]), {id(top)}
     for above, below in zip(path[1:], path, strict=False):
-        for x in above.parts:
-            if not isinstance(x, str) and x is not below and x.chars and x.density >= threshold:
+        for x in above.children:
+            if x is not below and x.chars and x.density >= threshold:
                 kept.add(id(x if x.tag in BLOCK and not x.total else _largest(x)))
     found, todo = [], [body]
     while todo:
         x = todo.pop()
-        if id(x) in kept:
-            found.append(x)
-        else:
-            todo += [y for y in reversed(x.parts) if not isinstance(y, str)]
+        if id(x) not in kept:
+            todo += reversed(x.children)
+            continue
+        before, siblings = [], x.parent.children
+        for y in reversed(siblings[:next(i for i, y in enumerate(siblings) if y is x)]):
+            if y.tag not in HEADINGS or id(y) in kept:
+                break
+            before.append(y)
+        found += [*reversed(before), x]
     return found
 
 
@@ -226,12 +307,44 @@ def blocks(node: Node) -> list[str]:
     return out
 
 
+def walk(root: Node) -> Iterator[Node]:
+    todo = [root]
+    while todo:
+        node = todo.pop()
+        yield node
+        todo += node.children
+
+
+def any_beside(root: Node) -> bool:
+    return any("beside" in x.marks for x in walk(root))
+
+
+def _chars(root: Node) -> int:
+    """Characters of text outside links."""
+    total, todo = 0, [root]
+    while todo:
+        for x in todo.pop().parts:
+            if isinstance(x, str):
+                total += len("".join(x.split()))
+            elif x.tag != "a":
+                todo.append(x)
+    return total
+
+
 def main_text(page: str | None) -> str:
     """Main text of one page; empty where there is none."""
     if not page:
         return ""
     root = parse(page)
-    _prune(root)
+    _keep(root, lambda x, inside: x.tag not in NOT_SHOWN and "hidden" not in x.marks)
+    _keep(root, lambda x, inside: x.tag not in NOT_ARTICLE and (inside or x.tag != "header"))
+    if any_beside(root):
+        # what names itself an advert, a menu, comments and so on goes, unless it is most of what the page says
+        whole, parts = _chars(root), [(x, x.parts) for x in walk(root)]
+        _keep(root, lambda x, inside: "beside" not in x.marks)
+        if _chars(root) < LEFT * whole:
+            for x, own in parts:
+                x.parts = own
     return "\n\n".join(text for node in select(root) for text in blocks(node))
 
 
@@ -246,8 +359,10 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
 
     Each page's DOM gets link-adjusted characters per tag for every node; the subtree whose
     children's densities sum highest is the article, with what reaches the least density on its
-    body path. Menus, forms and other furniture go before by element, class, id and role, as do
-    comments of readers. A page that is null, empty or without text gives the empty text; ids and
+    body path. Elements that are never article text (nav, footer, aside, form, ...) go before. So do
+    elements whose whole class, id or role names a menu, an advert, a notice, comments of readers or
+    the like, as long as a tenth of the text outside links is left without them: where it isn't,
+    the names are not believed and density alone decides. A page that is null, empty or without text gives the empty text; ids and
     urls may be null or repeat; other columns are not used. Pages are independent: no shuffle.
     """
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
