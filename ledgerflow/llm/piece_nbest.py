@@ -5,8 +5,8 @@ from __future__ import annotations
 import array
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
+from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -14,16 +14,13 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame
 
+from .bpe import LONGEST, PieceTable, portions
 from .common import documents
 
 SPACE = "▁"
-#: Text is cut before a space that follows other text. No piece spans such a place, so the lattice falls apart there.
-SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$")
 NBEST = 4
-#: Segments whose forward pass a task keeps; it starts anew when full. Longer segments are not kept.
-MEMORY, KEPT_CHARS = 500_000, 32
-#: Characters of the texts that a task works on together.
-TOGETHER = 2_000_000
+#: Characters of the texts that a task works on together, and segments whose n best a worker keeps.
+TOGETHER, SEARCHED = 1_000_000, 100_000
 #: Arrow types of the columns of a result; a text without pieces has sums that are whole numbers to Python.
 TYPES = {
     "n_pieces": pa.int64(), "score": pa.float64(), "nbest_scores": pa.list_(pa.float64()), "nbest_sizes": pa.list_(pa.int64()), "ids_sha256": pa.string(), "round_trip": pa.bool_(),
@@ -40,17 +37,20 @@ class Pieces:
         model = SentencePieceProcessor(model_file=path)
         self.score: dict[str, tuple[float, int]] = {}
         self.byte: dict[int, int] = {}
-        self.text: dict[int, bytes] = {}
+        text = [b""] * model.get_piece_size()
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.byte[int(piece[3:5], 16)] = i
-                self.text[i] = bytes([int(piece[3:5], 16)])
+                text[i] = bytes([int(piece[3:5], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.score[piece] = (model.get_score(i), i)
-                self.text[i] = piece.encode()
+                text[i] = piece.encode()
         assert not any(SPACE in p.lstrip(SPACE) for p in self.score), "a piece spans a space"
         self.longest = max(map(len, self.score))
+        self.text = np.frombuffer(b"".join(text), np.uint8)
+        self.text_size = np.fromiter(map(len, text), np.int64, len(text))
+        self.text_start = np.cumsum(self.text_size) - self.text_size
         self.unknown = min(s for s, _ in self.score.values() if s > -1e8) - 10.0
         self._table()
 
@@ -193,27 +193,43 @@ class Pieces:
         A hypothesis is a path from some position to the end; its priority is its own score plus
         the forward score of that position, which is exactly what the best completion adds. So
         hypotheses leave the heap in order, and each one that reaches the start is the next best.
+        Hypotheses are links to the one that they extend. Of equal ones the one nearest to the start
+        goes first, and a position is left for the start ``count`` times at most, since what comes
+        later there can't be among the best: the work is in proportion to the segment.
         """
         best, _, _ = self.forward(segment)
-        heap = [(-best[-1], (), len(segment), 0.0)]
+        heap, turn, left = [(-best[-1], len(segment), 0, 0.0, None)], 0, [0] * (len(segment) + 1)
         found = []
         while heap and len(found) < count:
-            priority, ids, at, own = heapq.heappop(heap)
+            priority, at, _, own, link = heapq.heappop(heap)
             if at == 0:
-                found.append((-priority, ids))
+                ids = []
+                while link:
+                    ids += link[0]
+                    link = link[1]
+                found.append((-priority, tuple(ids)))
                 continue
+            if left[at] == count:
+                continue
+            left[at] += 1
             for start, score, piece in self.edges(segment, at):
-                heapq.heappush(heap, (-(own + score + best[start]), piece + ids, start, own + score))
+                turn += 1
+                heapq.heappush(heap, (-(own + score + best[start]), start, turn, own + score, (piece, link)))
         return found
 
+    def bytes_of(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """What pieces say, laid end to end, and the place of each piece's first byte, with the end."""
+        sizes = self.text_size[ids]
+        sums = np.concatenate([[0], np.cumsum(sizes)])
+        return self.text[np.repeat(self.text_start[ids] - sums[:-1], sizes) + np.arange(sums[-1])].tobytes(), sums
+
     def raw(self, ids: tuple[int, ...] | list[int]) -> str:
         """What the pieces say, spaces visible."""
-        return b"".join(map(self.text.__getitem__, ids)).decode("utf-8", "surrogatepass")
+        return self.bytes_of(np.array(ids, np.int64))[0].decode("utf-8", "surrogatepass")
 
     def decode(self, ids: tuple[int, ...] | list[int]) -> str:
         """The text of a segmentation."""
-        text = self.raw(ids).replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return plain(self.raw(ids))
 
 
 def marked(text: str) -> str:
@@ -221,63 +237,90 @@ def marked(text: str) -> str:
     return SPACE + text.replace(" ", SPACE) if text else ""
 
 
-def choose(pieces: Pieces, segments: list[str], scores: tuple, own: tuple, losses: tuple, count: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
-    """The ``count`` best segmentations of a whole text, best first, as score and the segments that differ from the best.
+def plain(raw: str) -> str:
+    """The text that visible spaces and a leading space stand for."""
+    text = raw.replace(SPACE, " ")
+    return text[1:] if text.startswith(" ") else text
 
-    Segments are independent, so a text's n-best are its best path with at most ``count`` - 1
-    segments changed, and those are among the segments that lose least. They get the full search,
-    and a heap puts their choices in order.
-    """
-    open_ = [i for loss, i in heapq.nsmallest(count - 1, zip(losses, range(len(losses)), strict=True)) if loss < float("inf")]
-    choices = []
-    for i in open_:  # of equal sums the forward pass may have picked another path than the search
-        choices.append([(scores[i], own[i]), *[x for x in pieces.search(segments[i], count) if x[1] != own[i]][:count - 1]])
-    start = (0,) * len(open_)
-    heap, seen, found = [(-sum(scores), start)], {start}, []
-    while heap and len(found) < count:
-        loss, chosen = heapq.heappop(heap)
-        found.append((-loss, {open_[k]: choices[k][c][1] for k, c in enumerate(chosen) if c}))
-        for k, c in enumerate(chosen):
-            further = (*chosen[:k], c + 1, *chosen[k + 1:])
-            if c + 1 < len(choices[k]) and further not in seen:
-                seen.add(further)
-                heapq.heappush(heap, (loss + choices[k][c][0] - choices[k][c + 1][0], further))
-    return found
-
-
-class Memory(dict):
-    """(score, best ids, loss) of segments, kept for those that are short."""
 
-    def __init__(self, pieces: Pieces) -> None:
-        self.pieces = pieces
-
-    def __missing__(self, segment: str) -> tuple[float, tuple[int, ...], float]:
-        best, ids, loss = self.pieces.forward(segment)
-        known = (best[-1], ids, loss)
-        if len(segment) <= KEPT_CHARS:
-            self[segment] = known
-        return known
-
-    def parts(self, segments: list[str]) -> tuple[tuple, tuple, tuple]:
-        """Scores, best ids and losses of a text's segments."""
-        return tuple(zip(*map(self.__getitem__, segments), strict=True)) if segments else ((), (), ())
+class Segments(PieceTable):
+    """Best path of each segment, with its score and loss; the n best of those that a text may change."""
 
+    def __init__(self, pieces: Pieces) -> None:
+        kind, cut = np.zeros(0x110000, np.uint8), np.zeros((8, 8), bool)
+        kind[ord(SPACE)], cut[0, 1] = 1, True  # before a space that follows other text: no piece spans such a place
+        super().__init__(kind, cut.ravel(), self._solve, more=2)
+        self.of, self.searched = pieces, {}
+
+    def _solve(self, segments: list[str]) -> tuple[list[tuple[int, ...]], list[float], list[float]]:
+        known = dict(self.of.forward_many([s for s in segments if len(s) <= LONGEST]))
+        for s in segments:
+            if s not in known:
+                best, ids, loss = self.of.forward(s)
+                known[s] = best[-1], ids, loss
+        score, ids, loss = zip(*map(known.__getitem__, segments), strict=True)
+        return list(ids), list(score), list(loss)
+
+    def choices(self, segment: str, count: int) -> list[tuple[float, tuple[int, ...]]]:
+        """``Pieces.search``, remembered for short segments."""
+        if (found := self.searched.get((segment, count))) is None:
+            found = self.of.search(segment, count)
+            if len(segment) <= LONGEST:
+                if len(self.searched) >= SEARCHED:
+                    self.searched.clear()
+                self.searched[segment, count] = found
+        return found
 
-def nbest(pieces: Pieces, memory: Memory, text: str, count: int) -> list[tuple[float, list[int]]]:
-    """The ``count`` best segmentations of a whole text in full, best first."""
-    segments = SEGMENT.findall(marked(text))
-    scores, own, losses = memory.parts(segments)
-    return [(score, [x for i, ids in enumerate(own) for x in changed.get(i, ids)]) for score, changed in choose(pieces, segments, scores, own, losses, count)]
+    def choose(self, segment_of, own_of, scores: np.ndarray, losses: np.ndarray, count: int) -> list[tuple[float, dict[int, tuple[int, ...]]]]:
+        """The ``count`` best segmentations of a whole text, best first, as score and the segments that differ from the best.
 
+        Segments are independent, so a text's n-best are its best path with at most ``count`` - 1
+        segments changed, and those are among the segments that lose least. They get the full search,
+        and a heap puts their choices in order.
+        """
+        few = min(count - 1, len(losses))
+        among = np.flatnonzero(losses <= np.partition(losses, few - 1)[few - 1]) if few else np.zeros(0, np.int64)
+        open_ = [i for i in among[np.argsort(losses[among], kind="stable")][:few].tolist() if losses[i] < float("inf")]
+        choices = []
+        for i in open_:  # of equal sums the forward pass may have picked another path than the search
+            own = own_of(i)
+            choices.append([(float(scores[i]), own), *[x for x in self.choices(segment_of(i), count) if x[1] != own][:count - 1]])
+        start = (0,) * len(open_)
+        heap, seen, found = [(-float(scores.sum()), start)], {start}, []
+        while heap and len(found) < count:
+            loss, chosen = heapq.heappop(heap)
+            found.append((-loss, {open_[k]: choices[k][c][1] for k, c in enumerate(chosen) if c}))
+            for k, c in enumerate(chosen):
+                further = (*chosen[:k], c + 1, *chosen[k + 1:])
+                if c + 1 < len(choices[k]) and further not in seen:
+                    seen.add(further)
+                    heapq.heappush(heap, (loss + choices[k][c][0] - choices[k][c + 1][0], further))
+        return found
 
-def spliced(packed: bytes, own: tuple, changed: dict[int, tuple[int, ...]]) -> bytes:
-    """32-bit ids of a segmentation: those of the best one, with the changed segments' put in their places."""
-    parts, done = [], 0
-    for i, ids in sorted(changed.items()):
-        start = 4 * sum(map(len, own[:i]))
-        parts += [packed[done:start], array.array("i", ids).tobytes()]
-        done = start + 4 * len(own[i])
-    return b"".join([*parts, packed[done:]]) if parts else packed
+    def segmented(self, texts: list[str], count: int) -> Iterator[tuple[str, bool, list[tuple[float, int, bytes]]]]:
+        """(decoded, round trip, [(score, pieces, 32-bit ids)], best first) of each text."""
+        lattices = [marked(t) for t in texts]
+        whole = "".join(lattices)
+        rows, places, edges = self.pieces(lattices)
+        scores, losses = self.numbers[rows, 0], self.numbers[rows, 1]
+        ids, sums = self.ids_of(rows)
+        packed, (said, ends) = ids.tobytes(), self.of.bytes_of(ids)
+        for text, lo, hi in zip(texts, edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            segment_of = lambda i, lo=lo: whole[places[lo + i]:places[lo + i + 1]]
+            own_of = lambda i, lo=lo: tuple(ids[sums[lo + i]:sums[lo + i + 1]].tolist())
+            found = self.choose(segment_of, own_of, scores[lo:hi], losses[lo:hi], count)
+            first, last = int(sums[lo]), int(sums[hi])
+            decoded = plain(said[ends[first]:ends[last]].decode("utf-8", "surrogatepass"))
+            same, every = decoded == text, []
+            for score, changed in found:  # another segmentation differs from the best one in the changed segments only
+                parts, done = [], first
+                for i, other in sorted(changed.items()):
+                    parts += [packed[4 * done:4 * int(sums[lo + i])], array.array("i", other).tobytes()]
+                    done = int(sums[lo + i + 1])
+                    same = same and self.of.raw(other) == segment_of(i)
+                one = b"".join([*parts, packed[4 * done:4 * last]])
+                every.append((score, len(one) // 4, one))
+            yield decoded, same, every
 
 
 def id_lists(rows: list[list[bytes]]) -> pa.Array:
@@ -289,44 +332,27 @@ def id_lists(rows: list[list[bytes]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(outer, pa.int32()), lists)
 
 
-def _segmenter(model: str, count: int, with_ids: bool):
-    def one(pieces: Pieces, memory: Memory, text: str, segments: list[str]) -> tuple:
-        scores, own, losses = memory.parts(segments)
-        found = choose(pieces, segments, scores, own, losses, count)
-        best = list(chain.from_iterable(own))
-        sizes = [len(best) + sum(len(ids) - len(own[i]) for i, ids in changed.items()) for _, changed in found]
-        # another segmentation differs from the best one in the changed segments only
-        decoded = pieces.decode(best)
-        same = decoded == text and all(pieces.raw(ids) == segments[i] for _, changed in found for i, ids in changed.items())
-        packed = array.array("i", best).tobytes()
-        known = (len(best), found[0][0], [s for s, _ in found], sizes, hashlib.sha256(packed).hexdigest(), same)
-        if not with_ids:
-            return known
-        every = [spliced(packed, own, changed) for _, changed in found]
-        return *known, decoded, [hashlib.sha256(x).hexdigest() for x in every], every
+@cache
+def _segments(model: str) -> Segments:
+    """The table of a model; a worker that runs several tasks keeps it."""
+    return Segments(Pieces(public_tokenizers.path(model)))
+
 
+def _segmenter(model: str, count: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = Pieces(public_tokenizers.path(model))
-        memory = Memory(pieces)
-        names = ["n_pieces", "score", "nbest_scores", "nbest_sizes", "ids_sha256", "round_trip", *(["decoded", "nbest_sha256", "ids"] if with_ids else [])]
+        segments = _segments(model)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                texts, size = [], 0
-                while at + len(texts) < batch.num_rows and size < TOGETHER:
-                    texts.append(batch.column("text")[at + len(texts)].as_py() or "")
-                    size += len(texts[-1])
-                ids = batch.column("doc_id")[at:at + len(texts)]
-                at += len(texts)
-                if len(memory) > MEMORY:
-                    memory.clear()
-                cut = [SEGMENT.findall(marked(t)) for t in texts]
-                fresh = {s for s in set(chain.from_iterable(cut)) if s not in memory and len(s) <= KEPT_CHARS}
-                memory.update(pieces.forward_many(list(fresh)))
-                columns = dict(zip(names, map(list, zip(*(one(pieces, memory, t, s) for t, s in zip(texts, cut, strict=True)), strict=True)), strict=True))
-                if with_ids:
-                    columns["ids"] = id_lists(columns["ids"])
-                yield pa.RecordBatch.from_pydict({"doc_id": ids} | columns, schema=pa.schema([("doc_id", pa.int64()), *((c, TYPES[c]) for c in columns)]))
+            for at, texts in portions(batch, most=TOGETHER):
+                columns = {name: [] for name in TYPES}
+                for decoded, same, every in segments.segmented(texts, count):
+                    scores, sizes, ids = zip(*every, strict=True)
+                    hashes = [hashlib.sha256(x).hexdigest() for x in (ids if with_ids else ids[:1])]
+                    values = (sizes[0], scores[0], scores, sizes, hashes[0], same, decoded, hashes, ids)
+                    for column, value in zip(columns.values(), values, strict=True):
+                        column.append(value)
+                columns = columns | {"ids": id_lists(columns["ids"])} if with_ids else {c: v for c, v in columns.items() if c not in ("decoded", "nbest_sha256", "ids")}
+                schema = pa.schema([("doc_id", pa.int64()), *((c, TYPES[c]) for c in columns)])
+                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(at, len(texts))} | columns, schema=schema)
 
     return run
 
