@@ -12,10 +12,14 @@ from .common import bound, stored
 
 REPEAT_WINDOW = 8
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
-#: Share of a group whose covariance has the least determinant, concentration steps, and least rows of a group.
-SUPPORT, C_STEPS, MIN_GROUP = 0.75, 6, 50
-#: Squared robust distance beyond which a row is an outlier: the 1 - 1e-6 quantile of chi-square with 4 degrees, times a margin for heavy tails.
-CUTOFF = 33.4 * 2.5
+#: Share of a group whose covariance has the least determinant, and least rows of a group with an estimate of its own.
+SUPPORT, MIN_GROUP = 0.75, 50
+#: Concentration steps from each start, most of them in all, and the change of a logarithm of a determinant that ends them.
+START_STEPS, MOST_STEPS, SETTLED = 2, 30, 1e-9
+#: What makes the covariance of the nearest three quarters that of all, if these are normal: 0.75 / F6(q), q the 0.75 quantile of chi-square with 4 degrees.
+CONSISTENCY = 1.4867
+#: Squared robust distance beyond which a row is an outlier: the 1 - 1e-6 quantile of chi-square with 4 degrees.
+CUTOFF = 33.377
 #: Least standard deviation of each transformed statistic: below it a spread is rounding or chance.
 FLOORS = (0.15, 0.25, 0.4, 0.3)
 VECTOR = ("x0", "x1", "x2", "x3")
@@ -61,85 +65,128 @@ def _transformed() -> list[Column]:
             F.log1p("n_dup_lines"), F.log1p(10 * F.col("n_repeat_words") / words)]
 
 
-def _moments(rows: DataFrame) -> DataFrame:
-    """Rows, means and covariances of each group; both are sums, so a group of any size is added up within its tasks first."""
+def _sums(columns: list[Column]) -> list[Column]:
+    """Sums for means and covariances of four columns; a group of any size is added up within its tasks first."""
     k = range(len(VECTOR))
-    sums = [F.sum(f"x{i}").alias(f"s{i}") for i in k] + [F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"s{i}{j}") for i in k for j in k if j <= i]
-    out = rows.groupBy("g").agg(F.count("*").alias("n"), *sums)
-    covariance = lambda i, j: F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n")
-    spread = [(F.greatest(covariance(i, i), F.lit(0.0)) + FLOORS[i] ** 2 if i == j else covariance(i, j)).alias(f"c{i}{j}") for i in k for j in k if j <= i]
-    return out.select("g", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in k), *spread)
+    return [F.count("*").alias("n"), *(F.sum(columns[i]).alias(f"s{i}") for i in k), *(F.sum(columns[i] * columns[j]).alias(f"s{i}{j}") for i in k for j in k if j <= i)]
 
 
-def _cholesky(moments: DataFrame) -> DataFrame:
-    """The lower factor of each covariance, column by column; floors keep it positive."""
-    out = moments
-    for j in range(len(VECTOR)):
+def _estimate(sums: DataFrame) -> DataFrame:
+    """(g, centre m, lower Cholesky factor l, logarithm of the determinant) from sums; no variance is below its floor."""
+    k = range(len(VECTOR))
+    covariance = lambda i, j: CONSISTENCY * (F.col(f"s{i}{j}") / F.col("n") - F.col(f"s{i}") * F.col(f"s{j}") / F.col("n") / F.col("n"))
+    out = sums.select("g", *((F.col(f"s{i}") / F.col("n")).alias(f"m{i}") for i in k),
+                      *((F.greatest(covariance(i, i), F.lit(FLOORS[i] ** 2)) if i == j else covariance(i, j)).alias(f"c{i}{j}") for i in k for j in k if j <= i))
+    return _factor(out)
+
+
+def _factor(moments: DataFrame) -> DataFrame:
+    """The lower factor of each covariance, column by column."""
+    out, k = moments, range(len(VECTOR))
+    for j in k:
         for i in range(j, len(VECTOR)):
             rest = F.col(f"c{i}{j}") - sum((F.col(f"l{i}{q}") * F.col(f"l{j}{q}") for q in range(j)), F.lit(0.0))
-            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-4))) if i == j else rest / F.col(f"l{j}{j}"))
-    return out.select("g", *(f"m{i}" for i in range(len(VECTOR))), *(f"l{i}{j}" for i in range(len(VECTOR)) for j in range(i + 1)))
+            out = out.withColumn(f"l{i}{j}", F.sqrt(F.greatest(rest, F.lit(1e-6) * F.col(f"c{j}{j}"))) if i == j else rest / F.col(f"l{j}{j}"))
+    log_det = reduce(add, (2 * F.log(f"l{i}{i}") for i in k))
+    return out.select("g", *(f"m{i}" for i in k), *(f"l{i}{j}" for i in k for j in range(i + 1)), log_det.alias("log_det"))
 
 
-def _distances(rows: DataFrame, model: DataFrame) -> DataFrame:
-    """``rows`` with d2, the squared Mahalanobis distance under their group's model (null where it has none).
+def _distances(rows: DataFrame, model: DataFrame, *more: str) -> DataFrame:
+    """``rows`` with d2, the squared Mahalanobis distance under the model of their g (null where it has none), and further columns of the model.
 
-    A model row is one (language, source) pair with enough documents; Spark joins it by shuffle or
-    broadcast as its size allows.
+    A model is one row a group; Spark joins it by shuffle or broadcast as its size allows.
     """
     out = rows.join(model, "g", "left")
     for i in range(len(VECTOR)):
         rest = F.col(f"x{i}") - F.col(f"m{i}") - sum((F.col(f"l{i}{q}") * F.col(f"z{q}") for q in range(i)), F.lit(0.0))
         out = out.withColumn(f"z{i}", rest / F.col(f"l{i}{i}"))
-    return out.select(*rows.columns, reduce(add, (F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(VECTOR)))).alias("d2"))
+    return out.select(*rows.columns, reduce(add, (F.col(f"z{i}") * F.col(f"z{i}") for i in range(len(VECTOR)))).alias("d2"), *more)
 
 
-def _nearest(rows: DataFrame) -> DataFrame:
-    """The rows of each group within its ``SUPPORT`` quantile of d2.
+def _step(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """One concentration step: the estimate of the rows of each group within its ``SUPPORT`` quantile of distance.
 
     Distances are counted in bins of a hundredth of their logarithm: a histogram of a few thousand
-    bins a group whatever its size, and the same on every run.
+    bins a group whatever its size. The quantile's bin is written beside the model, so that the
+    second pass over the rows again joins one small table.
     """
-    binned = rows.withColumn("bin", F.floor(F.log(F.col("d2") + 1e-6) * 100))
-    counts = binned.groupBy("g", "bin").agg(F.count("*").alias("n")).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
+    place = F.floor(F.log(F.col("d2") + 1e-6) * 100)
+    counts = _distances(rows, model).groupBy("g", place.alias("bin")).agg(F.count("*").alias("n"))
+    counts = counts.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("bin", "n"))).alias("bins"), F.sum("n").alias("total"))
     start = F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("edge"))
-    step = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["seen"] < SUPPORT * F.col("total"), x["bin"]).otherwise(s["edge"]).alias("edge"))
-    edges = counts.select("g", F.aggregate("bins", start, step)["edge"].alias("edge"))
-    return binned.join(edges, "g").where("bin <= edge").drop("bin", "edge")
+    add_bin = lambda s, x: F.struct((s["seen"] + x["n"]).alias("seen"), F.when(s["seen"] < SUPPORT * F.col("total"), x["bin"]).otherwise(s["edge"]).alias("edge"))
+    edges = counts.select("g", F.aggregate("bins", start, add_bin)["edge"].alias("edge"))
+    edged = stored(model.join(edges, "g"), "robust_edges")
+    near = _distances(rows, edged, "edge").where(place <= F.col("edge"))
+    return stored(_estimate(near.groupBy("g").agg(*_sums([F.col(x) for x in VECTOR]))), "robust_model")
 
 
 def fit(rows: DataFrame) -> DataFrame:
-    """Centre and factor of each group's minimum-covariance-determinant estimate.
+    """Centre and factor of each group's minimum-covariance-determinant estimate, over ``rows`` (g, x0..x3).
 
-    Concentration steps start from each group's medians and spreads: estimate, keep the share
-    ``SUPPORT`` of rows nearest to it, estimate from those. No step raises the determinant, and it
-    settles within a few; each model is written to the shared folder. Groups of fewer than
-    ``MIN_GROUP`` rows have no estimate.
+    Three starts: medians with the interquartile ranges as spreads, means with covariances, and both
+    of values drawn in to 2.5 spreads around the median. Each gets ``START_STEPS`` concentration
+    steps: keep the share ``SUPPORT`` of rows nearest to the estimate, estimate from those. The start
+    of the least determinant goes on until no group's determinant changes. Each model is written to
+    the shared folder; what reaches the driver is one number a step.
     """
-    sizes = rows.groupBy("g").agg(F.count("*").alias("n"), *(F.percentile_approx(x, 0.5, 1000).alias(f"m{i}") for i, x in enumerate(VECTOR))).where(F.col("n") >= MIN_GROUP)
-    first = sizes.select("g", *(f"m{i}" for i in range(len(VECTOR))), *(F.lit(2 * FLOORS[i] if i == j else 0.0).alias(f"l{i}{j}") for i in range(len(VECTOR)) for j in range(i + 1)))
-    model = stored(first, "robust_model")
-    for _ in range(C_STEPS):
-        near = _nearest(_distances(rows, model).where("d2 is not null"))
-        model = stored(_cholesky(_moments(near.drop("d2"))), "robust_model")
+    k = range(len(VECTOR))
+    quartiles = [F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}") for i, x in enumerate(VECTOR)]
+    first = stored(rows.groupBy("g").agg(*quartiles, *_sums([F.col(x) for x in VECTOR])), "robust_starts")
+    spread = [F.greatest((F.col(f"q{i}")[2] - F.col(f"q{i}")[0]) / 1.349, F.lit(FLOORS[i])) for i in k]
+    middle = [F.col(f"q{i}")[1] for i in k]
+    by_medians = _factor(first.select("g", *(middle[i].alias(f"m{i}") for i in k), *((spread[i] * spread[i] if i == j else F.lit(0.0)).alias(f"c{i}{j}") for i in k for j in k if j <= i)))
+    bounds = stored(first.select("g", *((middle[i] - 2.5 * spread[i]).alias(f"lo{i}") for i in k), *((middle[i] + 2.5 * spread[i]).alias(f"hi{i}") for i in k)), "robust_bounds")
+    drawn_in = [F.greatest(F.least(f"x{i}", f"hi{i}"), f"lo{i}") for i in k]
+    starts = [by_medians, _estimate(first), _estimate(rows.join(bounds, "g").groupBy("g").agg(*_sums(drawn_in)))]
+    named = [x.withColumn("g", F.concat(F.lit(str(i)), "g")) for i, x in enumerate(starts)]
+    model = stored(reduce(DataFrame.unionByName, named), "robust_model")
+    thrice = rows.select(F.explode(F.array(*(F.concat(F.lit(str(i)), "g") for i in range(len(starts))))).alias("g"), *VECTOR)
+    for _ in range(START_STEPS):
+        model = _step(thrice, model)
+    least = model.groupBy(F.substring("g", 2, 1 << 30).alias("own")).agg(F.min_by("g", F.struct(F.round("log_det", 9), "g")).alias("g"))
+    model = stored(model.join(least, "g").drop("g").withColumnRenamed("own", "g"), "robust_model")
+    for _ in range(MOST_STEPS - START_STEPS):
+        before, model = model, _step(rows, model)
+        change = model.join(before.select("g", F.col("log_det").alias("old")), "g").agg(F.max(F.abs(F.col("log_det") - F.col("old")))).first()[0]
+        if change is None or change < SETTLED:
+            break
     return model
 
 
+def _groups(passing: DataFrame) -> DataFrame:
+    """(pair, model, trains): for each language and source the group whose model judges its rows, and the groups that its rows are learned in.
+
+    A pair of fewer than ``MIN_GROUP`` rows is judged by its language, and a language of fewer by all rows.
+    """
+    sizes = stored(passing.groupBy("pair", "language").agg(F.count("*").alias("n")), "quality_groups")
+    languages = sizes.groupBy("language").agg(F.sum("n").alias("n_language"), F.min("n").alias("least"))
+    known = sizes.join(languages, "language").withColumn("model", F.when(F.col("n") >= MIN_GROUP, F.col("pair")).when(F.col("n_language") >= MIN_GROUP, F.col("language")).otherwise(F.lit("all")))
+    whole = not languages.where(F.col("n_language") < MIN_GROUP).isEmpty()
+    trains = F.array(F.when(F.col("n") >= MIN_GROUP, F.col("pair")), F.when((F.col("least") < MIN_GROUP) & (F.col("n_language") >= MIN_GROUP), F.col("language")), F.lit("all" if whole else None))
+    return stored(known.select("pair", "model", F.array_compact(trains).alias("trains")), "quality_groups")
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, distance) of each row.
 
     A row is kept unless a base rule fails or its transformed statistics lie beyond the robust
-    distance ``CUTOFF`` of its language and source. The estimate is learned from rows that pass the
-    base rules. A null language or source is a group of its own; in a group too small for an
-    estimate, distance is null and the base rules decide. A null text has no words and fails. Ids
-    may be null or repeat, repeated rows are each returned; other columns are not used.
+    distance ``CUTOFF`` (squared) of its language and source. The estimate is learned from rows that
+    pass the base rules; pairs of few rows take their language's estimate, and languages of few rows
+    that of all, so every row that passes has a distance. A null language or source is a group of
+    its own. Distance is null for a row that fails in a pair where none passes. A null text has no
+    words and fails. Ids may be null or repeat, repeated rows are each returned; other columns are
+    not used.
     """
     found = stored(statistics(docs, id_col, text_col, lang_col, source_col), "quality_statistics")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    # null-safe group key of two columns: a struct's hash would merge nothing, but a text keeps it plain
-    group = F.to_json(F.struct("lang", "source"))
-    rows = found.select("*", failed.alias("base_failed"), group.alias("g"), *(x.alias(f"x{i}") for i, x in enumerate(_transformed())))
-    model = fit(rows.where(~F.col("base_failed")).select("g", *VECTOR))
+    # to_json leaves null fields out, so keys are null-safe; the prefixes keep pairs and languages apart
+    pair, language = F.concat(F.lit("pair"), F.to_json(F.struct("lang", "source"))), F.concat(F.lit("language"), F.to_json(F.struct("lang")))
+    rows = found.select("*", failed.alias("base_failed"), pair.alias("pair"), language.alias("language"), *(x.alias(f"x{i}") for i, x in enumerate(_transformed())))
+    passing = rows.where(~F.col("base_failed"))
+    groups = _groups(passing)
+    model = fit(passing.join(groups, "pair").select(F.explode("trains").alias("g"), *VECTOR))
+    judged = _distances(rows.join(groups.select("pair", F.col("model").alias("g")), "pair", "left"), model)
     far = F.coalesce(F.col("d2") > CUTOFF, F.lit(False))
-    return _distances(rows, model).select(
+    return judged.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & ~far).alias("kept"), F.sqrt("d2").alias("distance"))
