@@ -1,6 +1,7 @@
 """Every operator against a brute-force version, with nulls, empty texts, repeated rows, empty tables and clashing columns."""
 
 import base64
+import collections
 import hashlib
 import itertools
 import random
@@ -173,32 +174,81 @@ def test_odd_pages(spark):
 # --- language model
 
 
-def test_base_score_is_exact(spark, nothing):
+def tokens_of(text):
+    return [*SPACE.findall(lower(text)), None]
+
+
+def plain_scores(rows, known_words, context_words):
+    """Base and model scores of (id, text) rows by dictionaries, with the same smoothing and quantised counts."""
+    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
+    training = [tokens_of(t) for i, t in rows if not held(i)]
+    counts = collections.Counter(w for t in training for w in t)
+    total = sum(counts.values()) + 0.5 * (len(counts) + 1)
+    top = lambda most: {w for w in counts if sum(n >= counts[w] for n in counts.values()) <= most}
+    contexts, known = top(context_words), top(known_words)
+    least = min((counts[w] for w in known), default=1)
+    shown = lambda n, least: least * bloom_lm.LEVEL ** (np.floor(np.log(n / least) / np.log(bloom_lm.LEVEL) + 1e-9) + 0.5) if n else 0.0
+    pairs = collections.Counter((v, w) for t in training for v, w in zip(["start", *t], t, strict=False) if w in contexts and (v == "start" or v in contexts))
+    pairs = {k: shown(n, 2) for k, n in pairs.items() if n >= 2}
+    taken = collections.Counter()
+    for (v, _), n in pairs.items():
+        taken[v] += n - bloom_lm.DISCOUNT
+
+    def model(t):
+        out = 0.0
+        for v, w in zip(["start", *t], t, strict=False):
+            p = (shown(counts[w], least if w in known else 1) + 0.5) / total
+            if v == "start" or v in contexts:
+                c = max(1, counts[None] if v == "start" else counts[v])
+                p = p * (1 - min(0.98, taken[v] / c)) + max(0, pairs.get((v, w), 0) - bloom_lm.DISCOUNT) / c
+            out += np.log10(min(1, p))
+        return out
+
+    out = []
+    for i, text in rows:
+        t = tokens_of(text)
+        out.append((str(i), held(i), len(t), sum(w in counts for w in t), sum(counts.values()), sum(np.log10((counts[w] + 0.5) / total) for w in t), model(t)))
+    return sorted(out)
+
+
+@pytest.mark.parametrize(("known", "contexts"), [(1000, 1000), (40, 12), (3, 2)])
+def test_scores_equal_a_plain_version(spark, monkeypatch, known, contexts):
+    """With and without words that are joined by shuffle; the filter is so large that it makes no error."""
     rng = random.Random(5)
     rows = [*EDGES, *((i, prose(rng, rng.randint(1, 200), 60)) for i in range(20, 80))]
-    docs = documents(spark, rows).repartition(5)
-    tokens = lambda t: [*SPACE.findall(lower(t)), None]
-    held = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
-    counts = {}
-    for i, t in rows:
-        for w in [] if held(i) else tokens(t):
-            counts[w] = counts.get(w, 0) + 1
-    n, v = sum(counts.values()), len(counts)
-    base = lambda t: sum(np.log10((counts.get(w, 0) + 0.5) / (n + 0.5 * (v + 1))) for w in tokens(t))
-    wanted = sorted((str(i), held(i), len(tokens(t)), sum(w in counts for w in tokens(t)), n, round(base(t), 5)) for i, t in rows)
-    for known in (bloom_lm.KNOWN, 0.02):  # with and without words that are joined by shuffle
-        kept, bloom_lm.KNOWN = bloom_lm.KNOWN, known
-        try:
-            found = bloom_lm.score(docs).collect()
-        finally:
-            bloom_lm.KNOWN = kept
-        assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 5)) for r in found) == wanted
-    assert all(r.score < 0 for r in found)
-    held_out = [r for r in found if r.held_out and r.doc_id and r.doc_id >= 20]
-    assert sum(r.score for r in held_out) > 1.1 * sum(r.base_score for r in held_out)
+    for name, value in (("KNOWN_WORDS", known), ("CONTEXT_WORDS", contexts), ("BITS", 200)):
+        monkeypatch.setattr(bloom_lm, name, value)
+    found = sorted((str(r.doc_id), *r[1:]) for r in bloom_lm.score(documents(spark, rows).repartition(5)).collect())
+    for one, other in zip(found, plain_scores(rows, known, contexts), strict=True):
+        assert one[:5] == other[:5] and one[5] == pytest.approx(other[5]) and one[6] == pytest.approx(other[6])
+
+
+def test_score_predicts_held_out_text(spark, nothing):
+    rng = random.Random(6)
+    docs = documents(spark, [(i, prose(rng, rng.randint(1, 200), 60)) for i in range(120)])
+    held_out = [r for r in bloom_lm.score(docs).collect() if r.held_out]
+    assert all(r.score < 0 for r in held_out) and sum(r.score for r in held_out) > 1.1 * sum(r.base_score for r in held_out)
     assert bloom_lm.score(nothing).count() == 0
 
 
+def test_keys_of_words():
+    """Equal words have equal keys wherever they are, different ones don't; long words and blocks' ends too."""
+    rng = random.Random(7)
+    texts = ["", "  ", "A a\tB\x0bb\x1c", "x" * 64 + " " + "x" * 65 + " " + "y" * 300_000 + " a", "é É\u00a0É", *(prose(rng, 3000, 900) for _ in range(40))]
+    keys, sizes = bloom_lm.Tokens()(texts)
+    words = [w for t in texts for w in tokens_of(t)]
+    assert len(words) == len(keys) == sizes.sum() and sizes.tolist() == [len(tokens_of(t)) for t in texts]
+    assert len(set(zip(words, keys.tolist(), strict=True))) == len(set(words)) == len(set(keys.tolist()))
+
+
+def test_filter_has_a_bound(spark, monkeypatch):
+    """Where bigrams are too many for the filter, the rarer ones stay out, and scores stay probabilities."""
+    rng = random.Random(8)
+    docs = documents(spark, [(i, prose(rng, 300, 30)) for i in range(60)])
+    monkeypatch.setattr(bloom_lm, "FILTER_BITS", 8000)
+    assert all(r.score < 0 for r in bloom_lm.score(docs).collect())
+
+
 def test_filter_counts_are_never_too_low():
     rng = np.random.default_rng(2)
     keys = rng.integers(0, 2**63, 3000).astype(np.uint64)
