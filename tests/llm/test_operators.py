@@ -281,12 +281,13 @@ def contaminated(docs, items):
             for i in range(len(words) - k + 1) if own else ():
                 if tuple(words[i:i + k]) in windows:
                     hit.update(range(i, i + k))
-                    ids.update([str(item)] if item is not None else [])
-        out.append((str(doc_id), len(words), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+                    ids.add(item)
+        named = sorted(str(x) for x in ids if x is not None)
+        out.append((str(doc_id), len(words), len(hit), len(ids), hashlib.sha256(",".join(named).encode()).hexdigest(), bool(hit)))
     return sorted(out)
 
 
-@pytest.mark.parametrize("broadcast", [200_000, 0])
+@pytest.mark.parametrize("broadcast", [200_000, 30])  # in one pass, and in blocks of those that occur
 def test_contamination(spark, nothing, broadcast, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
     rng = random.Random(7)
@@ -310,6 +311,9 @@ def test_contamination(spark, nothing, broadcast, monkeypatch):
     assert clean.columns == docs.columns and not decontaminate.find_contamination(clean, benchmark).where("contaminated").count()
     spans = {r.doc_id: r.clean for r in decontaminate.remove_spans(docs, benchmark).collect()}
     assert spans[60] == "" and spans[61] == ""
+    same_id = [(None, "two words and more"), (None, "other text of mine"), (7, "say two words"), (7, "two words"), (7, "nothing here")]
+    assert sorted(r.clean for r in decontaminate.remove_spans(documents(spark, same_id), benchmark).collect()) == ["", "and more", "nothing here", "other text of mine", "say"]
+    assert sorted(r.text for r in decontaminate.remove_documents(documents(spark, same_id), benchmark).collect()) == ["nothing here", "other text of mine"]
     assert decontaminate.find_contamination(nothing, benchmark).count() == 0
     assert decontaminate.find_contamination(docs, benchmark.limit(0)).where("n_hit > 0").count() == 0
 
