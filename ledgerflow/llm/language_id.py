@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_remainder
+from .common import documents, id_remainder, stored
 
 HIDDEN = 12
 #: Training windows for each language and their characters: the bound of what reaches the driver.
@@ -197,18 +197,27 @@ def _predictor(p: dict, languages: list[str]):
     return predict
 
 
+#: Times the bound that the draw by thresholds aims at, so that a rank of what is left fills the bound.
+AMPLE = 4
+
+
 def training_windows(docs: DataFrame, lang_col: str = "lang", per_language: int = WINDOWS_PER_LANGUAGE) -> DataFrame:
     """(lang, piece): at most ``per_language`` windows of labelled text for each language, from anywhere in their texts.
 
     The choice follows a hash of the text, so it is the same on every run and spreads over the
-    table; the rank limit is applied in each task before the shuffle.
+    table; copies count once. Different texts are counted by language first, and only those go on
+    whose hash lies under the share that gives ``AMPLE`` times the bound: what is ranked is small,
+    however many rows a language has.
     """
     seed = F.xxhash64("text")
     at = F.pmod(seed, F.greatest(F.length("text") - WINDOW_CHARS, F.lit(1))) + 1
     rows = docs.where(F.col(lang_col).isNotNull() & F.col("text").rlike(r"\p{L}")).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64("text", F.lit(1)).alias("draw"), F.col("text").substr(at.cast("int"), F.lit(WINDOW_CHARS)).alias("piece"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "piece"))
-    return rows.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "piece")
+    sizes = stored(rows.groupBy("lang").agg(F.approx_count_distinct("draw").alias("n")), "languages")
+    share = F.col("draw") / F.lit(2.0 ** 64) + 0.5
+    ample = rows.join(sizes, "lang").where(share * F.col("n") <= AMPLE * per_language).groupBy("lang", "draw").agg(F.min("piece").alias("piece"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("draw"))
+    return ample.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "piece")
 
 
 def fit(docs: DataFrame, lang_col: str = "lang") -> tuple[dict, list[str]]:

@@ -127,6 +127,41 @@ def test_windows_cover_each_byte_once():
     assert np.allclose(language_id.label_positions(p, short, np.array([1]))[0, 0], found[1], atol=1e-5)
 
 
+def test_fast_network_equals_the_plain_one():
+    """Positions' probabilities of windows of several lengths, both directions, against the training network's states."""
+    rng = np.random.default_rng(3)
+    p = language_id.init(4)
+    lengths = np.array([1, 7, 40, 40])
+    windows = rng.integers(0, 256, (40, 4)).astype(np.uint8)
+    found = language_id.label_positions(p, windows, lengths)
+    for k, n in enumerate(lengths):
+        x = windows[:n, k:k + 1]
+        forward = np.stack([s[5] for s in language_id._run(p, "f", x)])[:, 0]
+        backward = np.stack([s[5] for s in language_id._run(p, "b", x[::-1])])[::-1][:, 0]
+        logits = forward @ p["Wf"] + backward @ p["Wb"] + p["bias"]
+        prob = np.exp(logits - logits.max(axis=1, keepdims=True))
+        assert np.allclose(found[:n, k], prob / prob.sum(axis=1, keepdims=True), atol=1e-4)
+
+
+def test_context_is_enough():
+    """Windows with a few bytes of context give nearly what one pass over the whole text gives, under a trained network."""
+    rng = random.Random(4)
+    parts = {0: ["the", "th", "ing", "er", "and"], 1: ["sch", "ung", "ich", "der"], 2: ["eau", "oi", "les", "que"]}
+    text = lambda k: " ".join("".join(rng.choices(parts[k], k=rng.randint(1, 3))) for _ in range(200)).encode()
+    labels = [i % 3 for i in range(60)]
+    p = language_id.train([text(k) for k in labels], labels, 3, steps=120)
+    for k in range(3):
+        one = text(k)
+        whole = language_id.label_positions(p, np.frombuffer(one, np.uint8)[:, None], np.array([len(one)]))[:, 0].mean(axis=0)
+        assert np.abs(language_id.pooled(p, [one])[0] - whole).max() < 0.02
+
+
+def test_sample_counts_copies_once(spark):
+    rows = [(i, "the same text of one language", "en", "s") for i in range(300)] + [(1000 + i, f"text number {i} is another", "en", "s") for i in range(100)] + [(2000, "seul", "fr", "s")]
+    found = language_id.training_windows(documents(spark, rows), per_language=50).collect()
+    assert len(found) == 51 and len({r.piece for r in found}) == 51
+
+
 def test_languages_are_told_apart(spark, edges, nothing):
     rng = random.Random(3)
     parts = {"en": ["the", "th", "ing", "er", "and"], "de": ["sch", "ung", "ich", "der", "ü"], "fr": ["eau", "oi", "é", "les", "que"]}
