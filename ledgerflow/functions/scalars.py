@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..schema import BATCH_SIZE
+from ..schema import BATCH_SIZE, CHUNK_BYTES
 
 
 def quorum(members: Column) -> Column:
-    return (members / 2).cast("long") + 1
+    return F.shiftright(members.cast("long"), 1) + 1
 
 
 def batch_id(idx: Column, size: int = BATCH_SIZE) -> Column:
-    return F.floor(idx / size).cast("long")
+    return F.call_function("div", idx, F.lit(size))
 
 
 def batch_range(low: Column, high: Column, size: int = BATCH_SIZE) -> tuple[Column, Column]:
@@ -70,7 +70,8 @@ def valid_address(address: Column) -> Column:
 
 def digest_long(text: Column) -> Column:
     """First eight bytes of an MD5 digest as sixteen hex digits, least byte first."""
-    return F.lower(F.hex(F.reverse(F.unhex(F.substring(F.md5(text.cast("binary")), 1, 16)))))
+    digits = F.md5(text.cast("binary"))
+    return F.concat(*(F.substring(digits, at, 2) for at in range(15, 0, -2)))
 
 
 def election_timeout(base: int, draw: Column) -> Column:
@@ -78,14 +79,30 @@ def election_timeout(base: int, draw: Column) -> Column:
     return base + F.floor(draw * base)
 
 
+def chunk_key(shard: Column, replica: Column, idx: Column) -> Column:
+    return F.concat_ws(":", shard, replica, idx)
+
+
+def external_file(file_id: Column) -> Column:
+    return F.concat(F.lit("external-file-"), file_id)
+
+
+def stored_payload(size: Column, block: int = CHUNK_BYTES) -> Column:
+    """Bytes of a payload with a checksum of four bytes a block and a tail of sixteen."""
+    return F.ceil(size / block) * 4 + size + 16
+
+
 # --- entry, message and session predicates
 
 PROPOSALS = ("Application", "Encoded", "Metadata")
-# Message names by class.
+# Message names by class, and results after which a request may be tried again.
 NEVER_DROPPED = ("InstallSnapshot", "Unreachable", "SnapshotStatus")
 LOCAL_MESSAGES = ("Election", "LeaderHeartbeat", "Unreachable", "SnapshotStatus", "CheckQuorum", "LocalTick", "BatchedReadIndex")
 RESPONSES = ("ReplicateResp", "RequestVoteResp", "HeartbeatResp", "ReadIndexResp", "Unreachable", "SnapshotStatus", "LeaderTransfer")
 FREE_ORDER = ("Replicate", "Ping")
+TEMPORARY = ("SystemBusy", "ShardClosed", "ShardNotInitialized", "ShardNotReady", "Timeout", "Closed", "Aborted")
+#: Sentinels that exceed a signed long, as the same bits say them: series to register and to close a session, counts of a stream's last and of a poisoned chunk.
+REGISTER, UNREGISTER, LAST_CHUNK, POISON_CHUNK = -2, -1, -1, -2
 
 
 def is_proposal() -> Column:
@@ -119,8 +136,75 @@ def can_grant_vote(vote: Column, candidate: Column, term: Column, own_term: Colu
     return (vote == 0) | (vote == candidate) | (term > own_term)
 
 
-def snapshot_required(applied: Column, pushed: Column, last: Column, every: int) -> Column:
-    return (F.lit(every) > 0) & (applied > last + every) & (pushed > last + every)
+def snapshot_required(applied: Column, pushed: Column, last: Column, requested: Column, every: int) -> Column:
+    """``every`` entries since the last snapshot and since the last request for one; 0 turns snapshots off."""
+    return (F.lit(every) > 0) & (applied > last + every) & (pushed > last + every) & (applied > requested + every)
+
+
+def compaction_index(idx: Column, override: Column, upto: Column, overhead: Column, default: int) -> Column:
+    """Index up to which a log may go after a snapshot at ``idx``; null where nothing may."""
+    keep = F.when(override, overhead).otherwise(default)
+    return F.when(override & (upto > 0), F.when(idx >= upto + 1, upto)).when(idx > keep, idx - keep)
+
+
+def can_drop(message: Column) -> Column:
+    return ~message.isin(*NEVER_DROPPED)
+
+
+def is_local_message(message: Column) -> Column:
+    return message.isin(*LOCAL_MESSAGES)
+
+
+def is_response(message: Column) -> Column:
+    return message.isin(*RESPONSES)
+
+
+def is_free_order(message: Column) -> Column:
+    return message.isin(*FREE_ORDER)
+
+
+def is_temporary(error: Column) -> Column:
+    return error.isin(*TEMPORARY)
+
+
+def is_empty_state(term: Column, vote: Column, commit: Column) -> Column:
+    return (term == 0) & (vote == 0) & (commit == 0)
+
+
+def same_state(a: tuple[Column, Column, Column], b: tuple[Column, Column, Column]) -> Column:
+    """Term, vote and commit are all equal."""
+    return (a[0] == b[0]) & (a[1] == b[1]) & (a[2] == b[2])
+
+
+def is_last_chunk(count: Column, chunk: Column) -> Column:
+    return (count == LAST_CHUNK) | (count == chunk + 1)
+
+
+def is_last_file_chunk(count: Column, chunk: Column) -> Column:
+    return count == chunk + 1
+
+
+def is_poison_chunk(count: Column) -> Column:
+    return count == POISON_CHUNK
+
+
+def session_fault(client: Column, series: Column, responded: Column, shard: Column, wanted: Column) -> Column:
+    """What forbids a session to propose to the wanted shard: null where it may; a response beyond the series is a broken session."""
+    return (F.when((shard != wanted) | (client == 0) | series.isin(REGISTER, UNREGISTER), "invalid").when(responded > series, "broken"))
+
+
+def valid_for_session_op(client: Column, series: Column, shard: Column, wanted: Column) -> Column:
+    return (shard == wanted) & (client != 0) & series.isin(REGISTER, UNREGISTER)
+
+
+def drops_vote_request(message_term: Column, own_term: Column, hint: Column, sender: Column, leader: Column, tick: Column, timeout: Column) -> Column:
+    """A vote of a higher term is ignored while a leader was heard within the timeout, unless leadership is handed over."""
+    return (message_term > own_term) & (hint != sender) & (leader != 0) & (tick < timeout)
+
+
+def is_paused(state: Column) -> Column:
+    """Followers that are waited for, or get a snapshot, are sent no entries."""
+    return state.isin("wait", "snapshot")
 
 
 def update_fault(commit: Column, last_apply: Column, last_save: Column) -> Column:

@@ -9,8 +9,8 @@ from ..functions.scalars import quorum
 
 
 def quorum_index(progress: DataFrame) -> DataFrame:
-    """Index that a quorum of each shard's voters has: the match at place n - quorum in ascending order."""
-    found = progress.groupBy("shard_id").agg(F.sort_array(F.collect_list("match")).alias("m"))  # a shard has a handful of replicas
+    """Index that a quorum of each shard's voters and witnesses has: the match at place n - quorum in ascending order."""
+    found = progress.where("role <> 'non_voting'").groupBy("shard_id").agg(F.sort_array(F.collect_list("match")).alias("m"))  # a shard has a handful of replicas
     n = F.size("m")
     return found.select("shard_id", F.get("m", (n - quorum(n)).cast("int")).alias("quorum_idx"))
 
@@ -18,7 +18,10 @@ def quorum_index(progress: DataFrame) -> DataFrame:
 def commit(progress: DataFrame, log: DataFrame) -> DataFrame:
     """(shard_id, commit): the quorum index where its entry has the shard's current term, else 0."""
     current = log.groupBy("shard_id").agg(F.max("term").alias("current"))
-    at = quorum_index(progress).join(log.select("shard_id", F.col("idx").alias("quorum_idx"), "term"), ["shard_id", "quorum_idx"], "left").join(current, "shard_id")
+    wanted = quorum_index(progress)
+    # an inner join lets Spark broadcast the few wanted entries instead of shuffling the log; the left join is of shards
+    found = log.select("shard_id", F.col("idx").alias("quorum_idx"), "term").join(wanted, ["shard_id", "quorum_idx"])
+    at = wanted.join(found, ["shard_id", "quorum_idx"], "left").join(current, "shard_id")
     return at.select("shard_id", "quorum_idx", F.when(F.col("term") == F.col("current"), F.col("quorum_idx")).otherwise(0).alias("commit"))
 
 
@@ -31,8 +34,8 @@ def count_votes(responses: DataFrame, voters: int) -> DataFrame:
 
 
 def has_quorum(activity: DataFrame) -> DataFrame:
-    """Whether the active voters of each window of each shard are a quorum."""
-    return activity.groupBy("shard_id", "window_id").agg(F.count_if("active").alias("active"), F.count("*").alias("voters")).withColumn("has_quorum", F.col("active") >= quorum(F.col("voters")))
+    """Whether the active voters of each window of each shard are a quorum; a leader is active to itself."""
+    return activity.groupBy("shard_id", "window_id").agg(F.count_if(F.col("active") | F.col("leader")).alias("active"), F.count("*").alias("voters")).withColumn("has_quorum", F.col("active") >= quorum(F.col("voters")))
 
 
 def committed_marks(updates: DataFrame) -> DataFrame:
@@ -53,7 +56,7 @@ def release_reads(requests: DataFrame, confirmations: DataFrame) -> DataFrame:
     A confirmed read releases all before it in the queue, with its own index: each takes the
     earliest confirmation among the places from its own on.
     """
-    w = Window.partitionBy("shard_id").orderBy("queue_pos").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("shard_id").orderBy(F.desc("queue_pos")).rowsBetween(Window.unboundedPreceding, 0)  # a running minimum from the queue's end
     rows = requests.join(confirmations, ["shard_id", "queue_pos"], "left")
     best = F.min(F.when(F.col("confirm_time").isNotNull(), F.struct("confirm_time", "read_idx"))).over(w)
     return rows.select("shard_id", "queue_pos", best.getField("confirm_time").alias("released_at"), best.getField("read_idx").alias("released_idx"))
@@ -67,7 +70,7 @@ def complete_reads(reads: DataFrame, applied: DataFrame) -> DataFrame:
     """
     marks = applied.select("shard_id", F.col("applied").alias("at_idx"), F.lit(1).alias("kind"), F.lit(None).cast("long").alias("read_id"), F.lit(None).cast("long").alias("deadline"), F.col("tick").alias("mark"))
     asks = reads.select("shard_id", F.col("read_idx").alias("at_idx"), F.lit(0).alias("kind"), "read_id", "deadline", F.lit(None).cast("long").alias("mark"))
-    w = Window.partitionBy("shard_id").orderBy("at_idx", "kind", "mark").rowsBetween(0, Window.unboundedFollowing)
+    w = Window.partitionBy("shard_id").orderBy(F.desc("at_idx"), F.desc("kind"), F.desc("mark")).rowsBetween(Window.unboundedPreceding, 0)
     found = asks.unionByName(marks).withColumn("done", F.min("mark").over(w)).where("kind = 0")
     code = F.when(F.col("done").isNull(), "pending").when(F.col("deadline") > F.col("done"), "completed").otherwise("timeout")
     return found.select("shard_id", "read_id", F.col("done").alias("tick"), code.alias("code"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.scalars import digest_long
+from .folds import ordered_fold
 
 
 def _same(a: str, b: str) -> bool:
@@ -46,14 +49,52 @@ class Members:
         return True
 
 
+class _Changes:
+    def __init__(self, ordered: bool) -> None:
+        self.members = Members(ordered)
+
+    def step(self, r) -> list[tuple]:
+        m, ok = self.members, self.members.step(r.idx, r.config_change_id, r.type, r.replica_id, r.address, r.initialize)
+        return [(r.shard_id, r.idx, ok, len(m.voters), len(m.non_voting), len(m.witnesses), len(m.removed))]
+
+    def end(self) -> list[tuple]:
+        return []
+
+
 def fold_changes(changes: DataFrame, ordered: bool = False) -> DataFrame:
     """Every change with accepted and the members after it. Acceptance depends on earlier ones: an ordered fold by shard."""
+    return ordered_fold(changes, ["shard_id"], ["idx"], lambda key: _Changes(ordered), "shard_id long, idx long, accepted boolean, voters long, non_voting long, witnesses long, removed long")
+
+
+def new_member_faults(old: DataFrame, members: DataFrame) -> DataFrame:
+    """New voters (shard_id, replica_id, address) that a repaired shard may not have, by its old members (with ``role``; removed ones too)."""
+    known = old.select("shard_id", "replica_id", "role", F.col("address").alias("_before"))
+    fault = (F.when((F.col("role") != "removed") & (F.col("_before") != F.col("address")), "address_changed").when(F.col("role") == "non_voting", "was_non_voting")
+             .when(F.col("role") == "witness", "was_witness").when(F.col("role") == "removed", "was_removed"))
+    return members.join(known, ["shard_id", "replica_id"]).select("shard_id", "replica_id", fault.alias("fault")).where("fault is not null")
+
+
+def bootstrap_faults(records: DataFrame, recorded: DataFrame, incoming: DataFrame) -> DataFrame:
+    """First fault of each start: records (shard_id, join, machine, now_join, now_machine), addresses recorded and incoming (shard_id, replica_id, address).
+
+    Incoming addresses are compared trimmed and in lower case, as records keep them.
+    """
+    clean = incoming.select("shard_id", "replica_id", F.lower(F.trim("address")).alias("_now"))
+    both = recorded.join(clean, ["shard_id", "replica_id"], "full").groupBy("shard_id").agg(
+        F.count("address").alias("_recorded"), F.count("_now").alias("_incoming"), F.count_if(~F.col("address").eqNullSafe(F.col("_now"))).alias("_differ"))
+    rows = records.join(both, "shard_id", "left").na.fill(0, ["_recorded", "_incoming", "_differ"])
+    fault = (F.when((F.col("machine") != "unknown") & (F.col("machine") != F.col("now_machine")), "machine").when(~F.col("join") & (F.col("_recorded") == 0), "no_address")
+             .when(F.col("join") & (F.col("_incoming") > 0), "members_of_joined").when(F.col("now_join") & (F.col("_recorded") > 0), "joins_as_initial")
+             .when((F.col("_incoming") > 0) & (F.col("_differ") > 0), "members_differ"))
+    return rows.select("shard_id", fault.alias("fault"))
+
+
+def self_removed(replicas: DataFrame, members: DataFrame) -> DataFrame:
+    """Replicas that are no longer members of their shard."""
+    return replicas.join(members.select("shard_id", "replica_id").distinct(), ["shard_id", "replica_id"], "left_anti")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        members, rows = Members(ordered), []
-        for r in part.sort_values("idx").itertuples():
-            ok = members.step(r.idx, r.config_change_id, r.type, r.replica_id, r.address, r.initialize)
-            rows.append((r.shard_id, r.idx, ok, len(members.voters), len(members.non_voting), len(members.witnesses), len(members.removed)))
-        return pd.DataFrame(rows, columns=["shard_id", "idx", "accepted", "voters", "non_voting", "witnesses", "removed"])
 
-    return changes.groupBy("shard_id").applyInPandas(fold, "shard_id long, idx long, accepted boolean, voters long, non_voting long, witnesses long, removed long")
+def member_hashes(members: DataFrame, changes: DataFrame) -> DataFrame:
+    """A hash of each shard's voters and last config change, equal for equal memberships."""
+    ids = members.where("role = 'voter'").groupBy("shard_id").agg(F.array_join(F.sort_array(F.collect_list("replica_id")), ",").alias("_ids"))  # a handful of replicas
+    return ids.join(changes.select("shard_id", "config_change_id"), "shard_id").select("shard_id", digest_long(F.concat_ws(";", "_ids", "config_change_id")).alias("member_hash"))

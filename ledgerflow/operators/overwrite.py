@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -10,9 +10,9 @@ def live_batches(appends: DataFrame) -> DataFrame:
     """For appends (shard_id, seq, start, n, term): the part of each that later ones leave.
 
     An append drops all from its start on, so an entry lives while no later append starts at or
-    before it. The window runs over appends, not entries.
+    before it. The window runs over appends, not entries, from the last one back.
     """
-    later = Window.partitionBy("shard_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("shard_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     cut = F.min("start").over(later)
     end = F.col("start") + F.col("n")
     return appends.withColumn("live_end", F.least(end, F.coalesce(cut, end))).where("live_end > start")
@@ -30,7 +30,7 @@ def conflict_index(log: DataFrame, incoming: DataFrame) -> DataFrame:
 
 def overlay_extents(extents: DataFrame) -> DataFrame:
     """Index extents (shard_id, seq, start, end, file) after overlays; neighbours in one file are one extent."""
-    later = Window.partitionBy("shard_id").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    later = Window.partitionBy("shard_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     live = extents.withColumn("end", F.least("end", F.coalesce(F.min("start").over(later) - 1, F.col("end")))).where("end >= start")
     order = Window.partitionBy("shard_id").orderBy("start")
     starts = (F.lag("end").over(order) + 1 != F.col("start")) | (F.lag("file").over(order) != F.col("file"))
@@ -43,6 +43,39 @@ def obsolete_files(on_disk: DataFrame, live: DataFrame) -> DataFrame:
     return on_disk.join(live.select("shard_id", "file").distinct(), ["shard_id", "file"], "left_anti")
 
 
+def merge_file_sets(a: Column, b: Column) -> Column:
+    """Sorted union of two sets of file numbers."""
+    return F.sort_array(F.array_union(a, b))
+
+
+def merge_file_metas(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Union of two lists of files by number; of a file in both the first list's row stays."""
+    both = a.withColumn("_from", F.lit(0)).unionByName(b.withColumn("_from", F.lit(1)))
+    rest = [c for c in a.columns if c not in ("shard_id", "file")]
+    return both.groupBy("shard_id", "file").agg(F.min_by(F.struct(*rest), "_from").alias("_x")).select("shard_id", "file", *(F.col(f"_x.{c}").alias(c) for c in rest))
+
+
+def drop_obsolete(extents: DataFrame, obsolete: DataFrame) -> DataFrame:
+    """Extents in files numbered above the newest obsolete file of their shard."""
+    newest = obsolete.groupBy("shard_id").agg(F.max("file").alias("_newest"))
+    return extents.join(newest, "shard_id", "left").where("_newest is null or file > _newest").drop("_newest")
+
+
+def pending_compactions(tasks: DataFrame) -> DataFrame:
+    """One task for each replica, of its newest index; how many it replaced, and whether a later request went back."""
+    order = Window.partitionBy("shard_id", "replica_id").orderBy("seq")
+    rows = tasks.withColumn("_back", F.coalesce(F.col("idx") < F.lag("idx").over(order), F.lit(False)))
+    return rows.groupBy("shard_id", "replica_id").agg(F.max("idx").alias("idx"), (F.count("*") - 1).alias("replaced"), F.bool_or("_back").alias("went_back"))
+
+
+def saved_marks(saves: DataFrame, memory: DataFrame) -> DataFrame:
+    """The mark that each save leaves: its index where the (index, term) is in memory, else what was before. Marks may fall after a truncation."""
+    found = memory.select("shard_id", "idx", "term", F.col("idx").alias("_mark")).join(saves.select("shard_id", "idx", "term").distinct(), ["shard_id", "idx", "term"])
+    rows = saves.join(found, ["shard_id", "idx", "term"], "left")
+    so_far = Window.partitionBy("shard_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return rows.select("shard_id", "seq", F.coalesce(F.last("_mark", ignorenulls=True).over(so_far), F.lit(0)).alias("saved_to"))
+
+
 def shard_diff(before: DataFrame, after: DataFrame) -> DataFrame:
     """Shards that were loaded, kept or offloaded between two sets."""
     a, b = before.select("shard_id", F.lit(1).alias("was")), after.select("shard_id", F.lit(1).alias("is_"))

@@ -68,7 +68,9 @@ def query_status(log_bounds: DataFrame, commits: DataFrame, low: int, high: int)
 
 def terms_of(log: DataFrame, wanted: DataFrame) -> DataFrame:
     """Term of (shard, index) pairs; 0 where the log lacks the entry."""
-    return wanted.join(log.select("shard_id", "idx", "term"), ["shard_id", "idx"], "left").withColumn("term", F.coalesce("term", F.lit(0)))
+    keys = ["shard_id", "idx"]
+    found = log.select(*keys, "term").join(wanted.select(*keys).distinct(), keys)  # the wanted side may be broadcast, the log needn't move
+    return wanted.join(found, keys, "left").withColumn("term", F.coalesce("term", F.lit(0)))
 
 
 def batches(log: DataFrame) -> DataFrame:
@@ -82,6 +84,22 @@ def raft_state(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     return log.join(newest, "shard_id").where("idx > snapshot_idx").groupBy("shard_id").agg(F.min("idx").alias("first_idx"), F.count("*").alias("entry_count"), F.max("snapshot_idx").alias("snapshot_idx"))
 
 
+def hard_states(tails: DataFrame, states: DataFrame) -> DataFrame:
+    """Tails with each replica's stored term, vote and commit; a shard without entries after its snapshot has none to read."""
+    return states.join(tails, "shard_id", "left").withColumn("entry_count", F.coalesce("entry_count", F.lit(0)))
+
+
+def restore_batches(batches_: DataFrame) -> DataFrame:
+    """Entries of compacted batches (shard_id, first_idx, term, payloads): index by position, the first one's term."""
+    rows = batches_.select("shard_id", "first_idx", "term", F.posexplode("payloads").alias("_at", "payload"))
+    return rows.select("shard_id", (F.col("first_idx") + F.col("_at")).alias("idx"), "term", "payload")
+
+
+def snapshots_upto(snapshots: DataFrame, upto: DataFrame) -> DataFrame:
+    """Snapshot records of each shard up to an index."""
+    return snapshots.join(upto, "shard_id").where("idx <= upto").drop("upto")
+
+
 def splice(stored: DataFrame, tail: DataFrame) -> DataFrame:
     """Stored log with the in-memory tail on top: a tail entry and all after its first index replace stored ones."""
     cut = tail.groupBy("shard_id").agg(F.min("idx").alias("_cut"))
@@ -98,3 +116,10 @@ def violations(log: DataFrame) -> DataFrame:
 def entries_to_apply(log: DataFrame, applied: DataFrame) -> DataFrame:
     """Entries above each shard's applied index."""
     return log.join(applied, "shard_id").where("idx > applied").drop("applied")
+
+
+def apply_faults(log: DataFrame, applied: DataFrame) -> DataFrame:
+    """Shards whose entries can't be applied: ``hole`` where the first one leaves a gap after the applied index, ``old`` where all are applied already."""
+    ends = log.groupBy("shard_id").agg(F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx")).join(applied, "shard_id")
+    fault = F.when(F.col("first_idx") > F.col("applied") + 1, "hole").when(F.col("last_idx") <= F.col("applied"), "old")
+    return ends.withColumn("fault", fault).where("fault is not null")

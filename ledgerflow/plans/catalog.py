@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import commit, membership, overwrite, scans, sessions
-from ..sources.tables import LOG_SQL, PROGRESS_SQL, events_log, events_progress, read
+from ..sources.tables import LOG_SQL, PROGRESS_SQL, events_log, events_progress, read, read_log, shared_folder, write_log
 from ..streaming import queries as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,7 +40,7 @@ def _half(log: DataFrame) -> DataFrame:
 HALF = "half AS (SELECT shard_id, (max(idx) // 2)::BIGINT AS commit FROM log GROUP BY 1)"
 
 
-@query(f""", q AS (SELECT shard_id, list_sort(list(match))[2] AS quorum_idx FROM progress GROUP BY 1),
+@query(f""", q AS (SELECT shard_id, list_sort(list(match) FILTER (role <> 'non_voting'))[2] AS quorum_idx FROM progress GROUP BY 1),
   c AS (SELECT q.shard_id, CASE WHEN l.term = (SELECT max(term) FROM log x WHERE x.shard_id = q.shard_id) THEN quorum_idx ELSE 0 END AS commit FROM q LEFT JOIN log l ON l.shard_id = q.shard_id AND l.idx = quorum_idx)
   SELECT log.shard_id, k, arg_max(v, idx) AS v, count(*) AS n, max(idx) AS last_idx FROM log JOIN c ON c.shard_id = log.shard_id WHERE idx <= commit GROUP BY ALL""")
 def state_at_commit(log, table):
@@ -88,9 +88,9 @@ def log_bounds(log, table):
 
 
 @query("""SELECT l.shard_id, l.low, l.high, b.first_idx, b.last_idx, CASE WHEN low > high THEN 'invalid' WHEN low < first_idx THEN 'compacted' WHEN high > last_idx + 1 THEN 'unavailable' ELSE 'ok' END AS status
-  FROM (SELECT shard_id, idx - 50 AS low, idx * 2 - 100 AS high FROM log WHERE idx % 40 = 0) l JOIN (SELECT shard_id, min(idx) AS first_idx, max(idx) AS last_idx FROM log GROUP BY 1) b USING (shard_id)""")
+  FROM (SELECT shard_id, idx - 50 AS low, idx * 2 - 100 AS high FROM log) l JOIN (SELECT shard_id, min(idx) AS first_idx, max(idx) AS last_idx FROM log GROUP BY 1) b USING (shard_id)""")
 def check_bounds(log, table):
-    return scans.check_bound(log.where("idx % 40 = 0").select("shard_id", (F.col("idx") - 50).alias("low"), (F.col("idx") * 2 - 100).alias("high")), scans.bounds(log))
+    return scans.check_bound(log.select("shard_id", (F.col("idx") - 50).alias("low"), (F.col("idx") * 2 - 100).alias("high")), scans.bounds(log))
 
 
 @query("""SELECT shard_id, idx FROM (SELECT shard_id, idx, idx - row_number() OVER (PARTITION BY shard_id ORDER BY idx) - min(idx) OVER (PARTITION BY shard_id) + 1 AS gap FROM log WHERE idx % 97 <> 5) WHERE gap = 0""")
@@ -98,9 +98,9 @@ def scan_to_first_hole(log, table):
     return scans.contiguous(log.where("idx % 97 <> 5")).select("shard_id", "idx")
 
 
-@query("SELECT w.shard_id, w.idx, coalesce(l.term, 0) AS term FROM (SELECT shard_id, idx * 2 AS idx FROM log WHERE idx % 30 = 0) w LEFT JOIN log l ON l.shard_id = w.shard_id AND l.idx = w.idx")
+@query("SELECT w.shard_id, w.idx, coalesce(l.term, 0) AS term FROM (SELECT shard_id, idx * 2 AS idx FROM log) w LEFT JOIN log l ON l.shard_id = w.shard_id AND l.idx = w.idx")
 def terms_of_entries(log, table):
-    return scans.terms_of(log, log.where("idx % 30 = 0").select("shard_id", (F.col("idx") * 2).alias("idx"))).select("shard_id", "idx", "term")
+    return scans.terms_of(log, log.select("shard_id", (F.col("idx") * 2).alias("idx"))).select("shard_id", "idx", "term")
 
 
 @query("SELECT shard_id, idx // 48 AS batch_id, count(*) AS n, min(idx) AS first_idx, max(idx) AS last_idx, sum(cmd_len + 24)::BIGINT AS bytes FROM log GROUP BY ALL")
@@ -108,16 +108,16 @@ def entry_batches(log, table):
     return scans.batches(log)
 
 
-@query("SELECT idx AS low, idx + 37 AS high, idx // 48 AS first_batch, CASE WHEN (idx + 37) % 48 = 0 THEN (idx + 37) // 48 ELSE (idx + 37) // 48 + 1 END AS end_batch FROM log WHERE shard_id = 0")
+@query("SELECT shard_id, idx AS low, idx + 37 AS high, idx // 48 AS first_batch, CASE WHEN (idx + 37) % 48 = 0 THEN (idx + 37) // 48 ELSE (idx + 37) // 48 + 1 END AS end_batch FROM log")
 def batch_id_ranges(log, table):
     low, high = scalars.batch_range(F.col("idx"), F.col("idx") + 37)
-    return log.where("shard_id = 0").select(F.col("idx").alias("low"), (F.col("idx") + 37).alias("high"), low.alias("first_batch"), high.cast("long").alias("end_batch"))
+    return log.select("shard_id", F.col("idx").alias("low"), (F.col("idx") + 37).alias("high"), low.alias("first_batch"), high.cast("long").alias("end_batch"))
 
 
-@query(""", s AS (SELECT shard_id, max(idx) AS snapshot_idx FROM log WHERE idx % 100 = 0 GROUP BY 1)
+@query(""", s AS (SELECT shard_id, max(idx) AS snapshot_idx FROM log WHERE k = 'purchase' GROUP BY 1)
   SELECT shard_id, min(idx) AS first_idx, count(*) AS entry_count, max(snapshot_idx) AS snapshot_idx FROM log JOIN s USING (shard_id) WHERE idx > snapshot_idx GROUP BY 1""")
 def raft_state(log, table):
-    return scans.raft_state(log, log.where("idx % 100 = 0").select("shard_id", "idx"))
+    return scans.raft_state(log, log.where("k = 'purchase'").select("shard_id", "idx"))
 
 
 @query("SELECT DISTINCT shard_id, replica_id FROM progress")
@@ -125,16 +125,17 @@ def node_info(log, table):
     return events_progress(log).select("shard_id", "replica_id").distinct()
 
 
-@query(""", s AS (SELECT shard_id, idx, term, idx * 10 AS size FROM log WHERE idx % 100 = 0) SELECT shard_id, max(idx) AS idx, arg_max(term, idx) AS term, arg_max(size, idx) AS size FROM s GROUP BY 1""")
+@query(""", s AS (SELECT shard_id, idx, term, idx * 10 AS size FROM log WHERE k = 'purchase') SELECT shard_id, max(idx) AS idx, arg_max(term, idx) AS term, arg_max(size, idx) AS size FROM s GROUP BY 1""")
 def newest_snapshot(log, table):
-    snapshots = log.where("idx % 100 = 0").select("shard_id", "idx", "term", (F.col("idx") * 10).alias("size"))
+    snapshots = log.where("k = 'purchase'").select("shard_id", "idx", "term", (F.col("idx") * 10).alias("size"))
     return snapshots.groupBy("shard_id").agg(F.max("idx").alias("newest"), F.max_by(F.struct("term", "size"), "idx").alias("x")).select("shard_id", F.col("newest").alias("idx"), "x.term", "x.size")
 
 
-@query("""SELECT shard_id, idx, term, 0 AS tail FROM log WHERE idx < 50 UNION ALL SELECT shard_id, idx, term + 1, 1 FROM log WHERE idx >= 50 AND idx < 90""")
+@query(f""", {HALF} SELECT shard_id, idx, CASE WHEN idx > commit THEN term + 1 ELSE term END AS term, CASE WHEN idx > commit THEN 1 ELSE 0 END AS tail FROM log JOIN half USING (shard_id)""")
 def splice_tail(log, table):
-    stored = log.where("idx < 80").select("shard_id", "idx", "term", F.lit(0).alias("tail"))
-    return scans.splice(stored, log.where("idx >= 50 and idx < 90").select("shard_id", "idx", (F.col("term") + 1).alias("term"), F.lit(1).alias("tail")))
+    marked = log.join(_half(log), "shard_id")
+    stored = marked.where("idx <= commit + 10").select("shard_id", "idx", "term", F.lit(0).alias("tail"))
+    return scans.splice(stored, marked.where("idx > commit").select("shard_id", "idx", (F.col("term") + 1).alias("term"), F.lit(1).alias("tail")))
 
 
 @query("""SELECT shard_id, idx, term, before_idx, before_term FROM (SELECT shard_id, idx, term, lag(idx) OVER w AS before_idx, lag(term) OVER w AS before_term
@@ -176,32 +177,33 @@ def vote_predicates(log, table):
     return log.join(other, ["shard_id", "idx"]).select("shard_id", "idx", "other", scalars.up_to_date(F.col("term"), F.col("idx"), F.col("own_term"), F.col("other")).alias("up_to_date"), scalars.can_grant_vote(F.col("key") % 3, F.col("candidate"), F.col("term"), F.col("own_term")).alias("can_grant"))
 
 
-@query("SELECT shard_id, list_sort(list(match))[2] AS quorum_idx FROM progress GROUP BY 1")
+@query("SELECT shard_id, list_sort(list(match) FILTER (role <> 'non_voting'))[2] AS quorum_idx FROM progress GROUP BY 1")
 def quorum_index(log, table):
     return commit.quorum_index(events_progress(log))
 
 
-@query(""", q AS (SELECT shard_id, list_sort(list(match))[2] AS quorum_idx FROM progress GROUP BY 1)
+@query(""", q AS (SELECT shard_id, list_sort(list(match) FILTER (role <> 'non_voting'))[2] AS quorum_idx FROM progress GROUP BY 1)
   SELECT q.shard_id, quorum_idx, CASE WHEN l.term = (SELECT max(term) FROM log x WHERE x.shard_id = q.shard_id) THEN quorum_idx ELSE 0 END AS commit FROM q LEFT JOIN log l ON l.shard_id = q.shard_id AND l.idx = quorum_idx""")
 def quorum_commit(log, table):
     return commit.commit(events_progress(log), log)
 
 
-VOTES = """votes AS (SELECT shard_id, term, client_id % 5 AS voter, idx AS seq, key % 3 <> 0 AS granted FROM log WHERE idx % 3 = 0)"""
+VOTES = """votes AS (SELECT shard_id, term, client_id % 5 AS voter, idx AS seq, key % 3 <> 0 AS granted FROM log)"""
 
 
 @query(f""", {VOTES}, f AS (SELECT * FROM votes QUALIFY row_number() OVER (PARTITION BY shard_id, term, voter ORDER BY seq) = 1)
   SELECT shard_id, term, count(*) FILTER (granted) AS granted, count(*) FILTER (NOT granted) AS rejected,
   CASE WHEN count(*) FILTER (granted) >= 3 THEN 'won' WHEN count(*) FILTER (NOT granted) >= 3 THEN 'lost' ELSE 'open' END AS outcome FROM f GROUP BY ALL""")
 def election_outcomes(log, table):
-    votes = log.where("idx % 3 = 0").select("shard_id", "term", (F.col("client_id") % 5).alias("voter"), F.col("idx").alias("seq"), (F.col("key") % 3 != 0).alias("granted"))
+    votes = log.select("shard_id", "term", (F.col("client_id") % 5).alias("voter"), F.col("idx").alias("seq"), (F.col("key") % 3 != 0).alias("granted"))
     return commit.count_votes(votes, 5)
 
 
 @query("""SELECT shard_id, term AS window_id, count(*) FILTER (active) AS active, count(*) AS voters, count(*) FILTER (active) >= count(*) // 2 + 1 AS has_quorum
-  FROM (SELECT shard_id, term, client_id, bool_or(key % 4 = 0) AS active FROM log GROUP BY ALL) GROUP BY ALL""")
+  FROM (SELECT shard_id, term, client_id, bool_or(key % 4 = 0 OR client_id % 10 = 7) AS active FROM log GROUP BY ALL) GROUP BY ALL""")
 def check_quorum(log, table):
-    return commit.has_quorum(log.groupBy("shard_id", F.col("term").alias("window_id"), "client_id").agg(F.bool_or(F.col("key") % 4 == 0).alias("active")))
+    seen = log.groupBy("shard_id", F.col("term").alias("window_id"), "client_id").agg(F.bool_or(F.col("key") % 4 == 0).alias("active"))
+    return commit.has_quorum(seen.withColumn("leader", F.col("client_id") % 10 == 7))
 
 
 @query("""SELECT shard_id, idx AS seq, max(key % 1000) OVER (PARTITION BY shard_id ORDER BY idx) AS commit, key % 1000 > 900 AS beyond_log FROM log""")
@@ -214,37 +216,37 @@ def replica_progress(log, table):
     return commit.progress_marks(log.select("shard_id", (F.col("client_id") % 3).alias("replica_id"), F.col("idx").alias("seq"), (F.col("idx") - F.col("key") % 7).alias("idx")))
 
 
-READS = """req AS (SELECT shard_id, idx AS queue_pos, idx AS read_idx FROM log WHERE idx % 5 = 0),
-  conf AS (SELECT shard_id, idx AS queue_pos, idx + key % 60 AS confirm_time FROM log WHERE idx % 5 = 0 AND key % 3 = 0)"""
+#: A confirmation's time and index as one number, which the least of a window carries along.
+READS = """req AS (SELECT shard_id, idx AS queue_pos, min(CASE WHEN type = 'Encoded' THEN (idx + key % 60) * 1000000000 + idx END) OVER w AS best FROM log
+  WINDOW w AS (PARTITION BY shard_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))"""
 
 
-@query(f""", {READS} SELECT r.shard_id, r.queue_pos, min(c.confirm_time) AS released_at, arg_min(q.read_idx, (c.confirm_time, q.read_idx)) AS released_idx
-  FROM req r LEFT JOIN conf c ON c.shard_id = r.shard_id AND c.queue_pos >= r.queue_pos LEFT JOIN req q ON q.shard_id = c.shard_id AND q.queue_pos = c.queue_pos GROUP BY 1, 2""")
+@query(f""", {READS} SELECT shard_id, queue_pos, best // 1000000000 AS released_at, best % 1000000000 AS released_idx FROM req""")
 def read_index_release(log, table):
-    asks = log.where("idx % 5 = 0").select("shard_id", F.col("idx").alias("queue_pos"), F.col("idx").alias("read_idx"))
-    return commit.release_reads(asks, log.where("idx % 5 = 0 and key % 3 = 0").select("shard_id", F.col("idx").alias("queue_pos"), (F.col("idx") + F.col("key") % 60).alias("confirm_time")))
+    asks = log.select("shard_id", F.col("idx").alias("queue_pos"), F.col("idx").alias("read_idx"))
+    return commit.release_reads(asks, log.where("type = 'Encoded'").select("shard_id", F.col("idx").alias("queue_pos"), (F.col("idx") + F.col("key") % 60).alias("confirm_time")))
 
 
-@query("""SELECT r.shard_id, r.idx AS read_id, min(a.idx * 2) AS tick, CASE WHEN min(a.idx * 2) IS NULL THEN 'pending' WHEN r.idx * 2 + r.key % 40 > min(a.idx * 2) THEN 'completed' ELSE 'timeout' END AS code
-  FROM log r LEFT JOIN log a ON a.shard_id = r.shard_id AND a.idx % 10 = 0 AND a.idx >= r.idx WHERE r.idx % 25 = 7 GROUP BY r.shard_id, r.idx, r.key""")
+@query("""SELECT shard_id, idx AS read_id, tick, CASE WHEN tick IS NULL THEN 'pending' WHEN idx * 2 + key % 40 > tick THEN 'completed' ELSE 'timeout' END AS code
+  FROM (SELECT shard_id, idx, key, min(CASE WHEN type = 'ConfigChange' THEN idx * 2 END) OVER (PARTITION BY shard_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS tick FROM log)""")
 def read_completion(log, table):
-    asks = log.where("idx % 25 = 7").select("shard_id", F.col("idx").alias("read_id"), F.col("idx").alias("read_idx"), (F.col("idx") * 2 + F.col("key") % 40).alias("deadline"))
-    return commit.complete_reads(asks, log.where("idx % 10 = 0").select("shard_id", F.col("idx").alias("applied"), (F.col("idx") * 2).alias("tick")))
+    asks = log.select("shard_id", F.col("idx").alias("read_id"), F.col("idx").alias("read_idx"), (F.col("idx") * 2 + F.col("key") % 40).alias("deadline"))
+    return commit.complete_reads(asks, log.where("type = 'ConfigChange'").select("shard_id", F.col("idx").alias("applied"), (F.col("idx") * 2).alias("tick")))
 
 
-@query("""SELECT p.shard_id, p.key, p.client_id, p.series_id, CASE WHEN p.idx % 11 = 0 THEN 'timeout' WHEN a.idx IS NULL THEN 'pending' WHEN a.idx % 4 = 0 THEN 'rejected' ELSE 'completed' END AS code,
-  CASE WHEN p.idx % 11 <> 0 THEN a.idx END AS result_idx FROM log p LEFT JOIN (SELECT * FROM log WHERE idx % 2 = 0) a USING (shard_id, key, client_id, series_id) WHERE p.idx % 3 = 0""")
+@query("""SELECT p.shard_id, p.key, p.client_id, p.series_id, CASE WHEN p.idx % 11 = 0 THEN 'timeout' WHEN a.idx IS NULL THEN 'pending' WHEN a.type = 'Metadata' THEN 'rejected' ELSE 'completed' END AS code,
+  CASE WHEN p.idx % 11 <> 0 THEN a.idx END AS result_idx FROM log p LEFT JOIN (SELECT * FROM log WHERE type <> 'Application') a USING (shard_id, key, client_id, series_id)""")
 def proposal_results(log, table):
     keys = ["shard_id", "key", "client_id", "series_id"]
-    pending = log.where("idx % 3 = 0").select(*keys, F.when(F.col("idx") % 11 == 0, 5).otherwise(50).alias("deadline"))
-    return commit.match_proposals(pending, log.where("idx % 2 = 0").select(*keys, "idx", (F.col("idx") % 4 == 0).alias("rejected")), 10)
+    pending = log.select(*keys, F.when(F.col("idx") % 11 == 0, 5).otherwise(50).alias("deadline"))
+    return commit.match_proposals(pending, log.where("type <> 'Application'").select(*keys, "idx", (F.col("type") == "Metadata").alias("rejected")), 10)
 
 
-APPENDS = """appends AS (SELECT shard_id, idx AS seq, idx * 5 - (key % 4) * 6 + 30 AS start, 8 + key % 5 AS n, term FROM log WHERE idx <= 200)"""
+APPENDS = """appends AS (SELECT shard_id, idx AS seq, idx * 5 - (key % 4) * 6 + 30 AS start, 8 + key % 5 AS n, term FROM log)"""
 
 
 def _appends(log: DataFrame) -> DataFrame:
-    return log.where("idx <= 200").select("shard_id", F.col("idx").alias("seq"), (F.col("idx") * 5 - (F.col("key") % 4) * 6 + 30).alias("start"), (8 + F.col("key") % 5).alias("n"), "term")
+    return log.select("shard_id", F.col("idx").alias("seq"), (F.col("idx") * 5 - (F.col("key") % 4) * 6 + 30).alias("start"), (8 + F.col("key") % 5).alias("n"), "term")
 
 
 @query(f""", {APPENDS}, cut AS (SELECT *, least(start + n, coalesce(min(start) OVER (PARTITION BY shard_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), start + n)) AS live_end FROM appends)
@@ -299,23 +301,27 @@ def address_lookup(log, table):
     return overwrite.resolve(wanted, hosts, table("nation").select(F.col("n_nationkey").cast("long").alias("host_id"), F.col("n_name").alias("address")))
 
 
-RETRIES = """tries AS (SELECT shard_id, client_id, series_id, responded_to, idx * 2 AS idx FROM log UNION ALL SELECT shard_id, client_id, series_id, responded_to, idx * 2 + 41 FROM log WHERE key % 10 = 0)"""
+#: Each client has a session in each of three shards; config changes are tried again, views are outside sessions.
+RETRIES = """tries AS (SELECT key % 3 AS shard_id, client_id, CASE WHEN k = 'view' THEN 0 ELSE series_id END AS series_id, responded_to, key * 2 + retry * 41 AS idx FROM log, range(2) AS t(retry) WHERE retry = 0 OR type = 'ConfigChange')"""
 
 
 def _tries(log: DataFrame) -> DataFrame:
-    rows = log.select("shard_id", "client_id", "series_id", "responded_to", "idx")
-    return rows.withColumn("idx", F.col("idx") * 2).unionByName(log.where("key % 10 = 0").select("shard_id", "client_id", "series_id", "responded_to", (F.col("idx") * 2 + 41).alias("idx")))
+    retry = F.explode(F.when(F.col("type") == "ConfigChange", F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))).alias("retry")
+    series = F.when(F.col("k") == "view", 0).otherwise(F.col("series_id"))
+    return log.select("key", "client_id", series.alias("series_id"), "responded_to", retry).select(
+        (F.col("key") % 3).alias("shard_id"), "client_id", "series_id", "responded_to", (F.col("key") * 2 + F.col("retry") * 41).alias("idx"))
 
 
-@query(f""", {RETRIES} SELECT shard_id, client_id, series_id, responded_to, idx, CASE WHEN series_id <= max(responded_to) OVER (PARTITION BY client_id ORDER BY idx) THEN 'ignored'
-  WHEN row_number() OVER (PARTITION BY client_id, series_id ORDER BY idx) > 1 THEN 'cached' ELSE 'applied' END AS outcome FROM tries""")
+@query(f""", {RETRIES}, w AS (SELECT *, client_id <> 0 AND series_id <> 0 AS managed, max(CASE WHEN client_id <> 0 AND series_id <> 0 THEN responded_to END) OVER (PARTITION BY shard_id, client_id ORDER BY idx) AS upto FROM tries)
+  SELECT shard_id, client_id, series_id, responded_to, idx, CASE WHEN NOT managed THEN 'applied' WHEN NOT series_id > upto THEN 'ignored'
+  WHEN count(*) FILTER (series_id > upto) OVER (PARTITION BY shard_id, client_id, series_id ORDER BY idx) > 1 THEN 'cached' ELSE 'applied' END AS outcome FROM w""")
 def session_dedup(log, table):
     return sessions.session_outcomes(_tries(log))
 
 
 @query()
 def session_eviction(log, table):
-    first = F.row_number().over(Window.partitionBy("client_id").orderBy("idx")) == 1
+    first = F.row_number().over(Window.partitionBy("shard_id", "client_id").orderBy("idx")) == 1
     rows = _tries(log).withColumn("cmd_len", F.col("series_id") * 3)
     opened = rows.withColumn("_f", first).where("_f").drop("_f").withColumn("idx", F.lit(0) - F.col("client_id") - 1).withColumn("kind", F.lit("register"))
     return sessions.fold_sessions(opened.unionByName(rows.withColumn("kind", F.lit("update"))), capacity=12)
@@ -381,9 +387,9 @@ def scalar_rules(log, table):
                       scalars.partition_of(key, 16, 4).alias("store"), scalars.varint_bytes(key).alias("varint"), *scalars.header_fields(byte))
 
 
-@query("""SELECT shard_id, idx, c AS chunk_id, (size + 63) // 64 AS chunk_count, least(64, size - c * 64) AS bytes FROM (SELECT shard_id, idx, cmd_len * 3 + 10 AS size FROM log WHERE idx % 9 = 0), unnest(range((size + 63) // 64)) AS t(c)""")
+@query("""SELECT shard_id, idx, c AS chunk_id, (size + 63) // 64 AS chunk_count, least(64, size - c * 64) AS bytes FROM (SELECT shard_id, idx, cmd_len * 3 + 10 AS size FROM log), unnest(range((size + 63) // 64)) AS t(c)""")
 def snapshot_chunks(log, table):
-    rows = log.where("idx % 9 = 0").select("shard_id", "idx", (F.col("cmd_len") * 3 + 10).alias("size"))
+    rows = log.select("shard_id", "idx", (F.col("cmd_len") * 3 + 10).alias("size"))
     count = F.floor((F.col("size") + 63) / 64)
     return rows.select("shard_id", "idx", "size", count.alias("chunk_count"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("chunk_id")).select(
         "shard_id", "idx", "chunk_id", "chunk_count", F.least(F.lit(64).cast("long"), F.col("size") - F.col("chunk_id") * 64).alias("bytes"))
@@ -396,10 +402,10 @@ def replicate_messages(log, table):
     return rows.select("shard_id", "replica_id", (F.col("match") + 1).alias("next"), F.when(F.col("match") + 1 < 50, "snapshot").otherwise("replicate").alias("send"), F.coalesce("term", F.lit(0)).alias("prev_term"), F.least("match", F.lit(900).cast("long")).alias("heartbeat_commit"))
 
 
-@query("SELECT p.key FROM log p ANTI JOIN (SELECT DISTINCT shard_id FROM log WHERE client_id % 11 = 3) l USING (shard_id) WHERE p.type <> 'ConfigChange'")
+@query("SELECT p.key FROM log p ANTI JOIN (SELECT DISTINCT client_id, term FROM log WHERE k = 'purchase') l USING (client_id, term) WHERE p.type <> 'ConfigChange'")
 def dropped_proposals(log, table):
-    led = log.where("client_id % 11 = 3").select("shard_id").distinct()
-    return log.where(scalars.is_proposal()).join(led, "shard_id", "left_anti").select("key")
+    led = log.where("k = 'purchase'").select("client_id", "term").distinct()  # the terms in which a node knew its leader
+    return log.where(scalars.is_proposal()).join(led, ["client_id", "term"], "left_anti").select("key")
 
 
 @query("""SELECT shard_id, idx, key FROM (SELECT shard_id, idx, key, k, lag(k) OVER (PARTITION BY client_id ORDER BY idx) AS before FROM log) WHERE before = 'purchase' AND k = 'view'""")
@@ -416,9 +422,15 @@ def orders_log(log, table):
 
 @query("SELECT (SELECT count(*) FROM log) AS n, 0 AS only_left, 0 AS only_right")
 def differential_store(log, table):
-    one, other = log.select("shard_id", "idx", "term", "key"), log.repartition("idx").select("shard_id", "idx", "term", "key")
-    count = lambda df, name: df.agg(F.count("*").alias(name))
-    return count(log, "n").crossJoin(count(one.exceptAll(other), "only_left")).crossJoin(count(other.exceptAll(one), "only_right"))
+    """The log against what the bucketed store gives back, entry by entry."""
+    columns = ["shard_id", "idx", "term", "key", "k", "v", "type", "cmd_len"]
+    spark, one = log.sparkSession, log.select(*columns)
+    path = shared_folder(spark, "stored_log")
+    write_log(one, path)
+    row = lambda df, side: df.select("shard_id", "idx", F.struct(*columns).alias(side))
+    both = row(one, "a").join(row(read_log(spark, path), "b"), ["shard_id", "idx"], "full")
+    same = F.col("a").eqNullSafe(F.col("b"))
+    return both.agg(F.count("*").alias("n"), F.count_if(~same & F.col("a").isNotNull()).alias("only_left"), F.count_if(~same & F.col("b").isNotNull()).alias("only_right"))
 
 
 @query("""SELECT shard_id, idx, CASE WHEN c > 0 AND apply > c THEN 'not_committed' WHEN apply > hi THEN 'not_saved' END AS fault,

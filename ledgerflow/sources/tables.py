@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,9 +13,27 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def shared_folder(spark: SparkSession, label: str) -> str:
+    """A fresh path in the folder that driver and executors share; a local session without one gets a temporary folder."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerflow-"))
+        base = context.getCheckpointDir()
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def write_log(log: DataFrame, path: str, buckets: int = 64) -> None:
+    """Append a log in the layout that ``read_log`` prunes: a folder for each bucket of shards, rows by shard and index in its files."""
+    rows = log.withColumn("bucket", F.pmod("shard_id", F.lit(buckets)))
+    rows.repartition("bucket").sortWithinPartitions("shard_id", "idx").write.mode("append").partitionBy("bucket").parquet(path)
+
+
 def read_log(spark: SparkSession, path: str, shard_id: int | None = None, buckets: int = 64) -> DataFrame:
     """A stored log; with a shard the bucket partition and the row groups' index ranges are pruned."""
-    log = spark.read.parquet(path)
+    log = spark.read.parquet(path)  # a shard's bucket and row groups are all that is read
     return log if shard_id is None else log.where((F.col("bucket") == shard_id % buckets) & (F.col("shard_id") == shard_id))
 
 
@@ -45,10 +66,12 @@ LOG_SQL = """log AS (
 
 
 def events_progress(log: DataFrame) -> DataFrame:
-    """Highest index that each of three replicas acknowledged; a replica that acknowledged nothing has 0."""
-    replicas = F.explode(F.array(*(F.lit(r).cast("long") for r in range(3))))
-    acked = F.when(F.col("key") % 7 >= F.col("replica_id") * 2, F.col("idx")).otherwise(0)
-    return log.select("shard_id", "key", "idx", replicas.alias("replica_id")).groupBy("shard_id", "replica_id").agg(F.max(acked).alias("match"))
+    """Highest index that each of five replicas acknowledged (three voters, a witness, a non-voting one); one that acknowledged nothing has 0."""
+    replicas = F.explode(F.array(*(F.lit(r).cast("long") for r in range(5))))
+    acked = F.when(F.col("key") % 7 >= F.col("replica_id") * 2 % 7, F.col("idx")).otherwise(0)
+    role = F.when(F.col("replica_id") < 3, "voter").when(F.col("replica_id") == 3, "witness").otherwise("non_voting")
+    return log.select("shard_id", "key", "idx", replicas.alias("replica_id")).groupBy("shard_id", "replica_id", role.alias("role")).agg(F.max(acked).alias("match"))
 
 
-PROGRESS_SQL = "progress AS (SELECT shard_id, r::BIGINT AS replica_id, max(CASE WHEN key % 7 >= r * 2 THEN idx ELSE 0 END)::BIGINT AS match FROM log, range(3) AS t(r) GROUP BY ALL)"
+PROGRESS_SQL = """progress AS (SELECT shard_id, r::BIGINT AS replica_id, CASE WHEN r < 3 THEN 'voter' WHEN r = 3 THEN 'witness' ELSE 'non_voting' END AS role,
+  max(CASE WHEN key % 7 >= r * 2 % 7 THEN idx ELSE 0 END)::BIGINT AS match FROM log, range(5) AS t(r) GROUP BY ALL)"""

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.folds import ordered_fold
 from ..operators.sessions import kv_state
 
 
@@ -69,36 +70,45 @@ def idle_periods(events: DataFrame, ticks: int, key: str = "shard_id") -> DataFr
     return events.groupBy(key, F.session_window("ts", f"{ticks} seconds")).agg(F.count("*").alias("n")).select(key, F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+class _Stream:
+    def __init__(self, key: tuple) -> None:
+        self.key, self.sender, self.n, self.chars, self.done = key, None, None, 0, 0
+
+    def step(self, r) -> list[tuple]:
+        if r.chunk_id == 0:
+            self.sender, self.n, self.chars = r.sender, 1, len(r.data)
+        elif self.n is None or r.chunk_id != self.n or r.sender != self.sender:
+            return []
+        else:
+            self.n, self.chars = self.n + 1, self.chars + len(r.data)
+        if self.n != r.chunk_count:
+            return []
+        out, self.n, self.done = [(*self.key, self.n, self.chars, True)], None, self.done + 1
+        return out
+
+    def end(self) -> list[tuple]:
+        return [] if self.done else [(*self.key, self.n or 0, self.chars if self.n else 0, False)]
+
+
 def assemble_chunks(chunks: DataFrame) -> DataFrame:
     """Snapshot streams put together: a chunk counts only if it is the next one of its sender; chunk 0 starts anew."""
+    return ordered_fold(chunks, ["shard_id", "replica_id"], ["seq"], _Stream, "shard_id long, replica_id long, n_chunks long, n_chars long, complete boolean")
 
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, held, sender, done = part.sort_values("seq"), None, None, []
-        for r in part.itertuples():
-            if r.chunk_id == 0:
-                held, sender = [r.data], r.sender
-            elif held is None or r.chunk_id != len(held) or r.sender != sender:
-                continue
-            else:
-                held.append(r.data)
-            if len(held) == r.chunk_count:
-                done.append((r.shard_id, r.replica_id, len(held), sum(map(len, held)), True))
-                held = None
-        return pd.DataFrame(done or [(part["shard_id"].iloc[0], part["replica_id"].iloc[0], len(held or []), sum(map(len, held or [])), False)], columns=["shard_id", "replica_id", "n_chunks", "n_chars", "complete"])
 
-    return chunks.groupBy("shard_id", "replica_id").applyInPandas(fold, "shard_id long, replica_id long, n_chunks long, n_chars long, complete boolean")
+class _Limit:
+    def __init__(self, limit: float, leave: float, hold: int) -> None:
+        self.limit, self.leave, self.hold, self.limited, self.since = limit, leave, hold, False, None
+
+    def step(self, r) -> list[tuple]:
+        wanted = r.size > self.limit if not self.limited else r.size >= self.leave * self.limit
+        if wanted != self.limited and (self.since is None or r.tick - self.since > self.hold):
+            self.limited, self.since = wanted, r.tick
+        return [(r.shard_id, r.tick, self.limited)]
+
+    def end(self) -> list[tuple]:
+        return []
 
 
 def rate_limit(samples: DataFrame, limit: float, leave: float = 0.7, hold: int = 10) -> DataFrame:
-    """Whether each shard is limited after each sample: enters above the limit, leaves below ``leave`` of it, holds for ``hold`` ticks."""
-
-    def fold(part: pd.DataFrame) -> pd.DataFrame:
-        part, limited, since, out = part.sort_values("tick"), False, None, []
-        for tick, size in zip(part["tick"], part["size"], strict=True):
-            wanted = size > limit if not limited else size >= leave * limit
-            if wanted != limited and (since is None or tick - since >= hold):
-                limited, since = wanted, tick
-            out.append(limited)
-        return part[["shard_id", "tick"]].assign(limited=out)
-
-    return samples.groupBy("shard_id").applyInPandas(fold, "shard_id long, tick long, limited boolean")
+    """Whether each shard is limited after each sample: enters above the limit, leaves below ``leave`` of it, holds for more than ``hold`` ticks."""
+    return ordered_fold(samples, ["shard_id"], ["tick"], lambda key: _Limit(limit, leave, hold), "shard_id long, tick long, limited boolean")
