@@ -13,9 +13,9 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
 
     Distributed union-find (Kiveris et al., 2014): a large-star round hangs each node's larger
     neighbours below its smallest one, a small-star round does so for the smaller neighbours. Both
-    are a partially aggregated minimum and one join, so a node with very many neighbours is never
-    gathered; the skew join of adaptive execution splits it. Every round is written to the shared
-    folder. Null ends and self loops are dropped; no edges give no rows.
+    are a partially aggregated minimum, written, and one join with it straight from a shuffle, so a
+    node with very many neighbours is never gathered: the skew join of adaptive execution splits it.
+    Every round is written to the shared folder. Null ends and self loops are dropped; no edges give no rows.
     """
     now = stored(
         edges.select(F.greatest(left, right).alias("u"), F.least(left, right).alias("v"))
@@ -23,9 +23,10 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b") ->
     state = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        lows = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        lows = stored(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "lowest")
         large = both.join(lows, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        lows = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = stored(large, "large_star")
+        lows = stored(large.groupBy("u").agg(F.min("v").alias("m")), "lowest")
         small = large.join(lows, "u").select(
             F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         now = stored(small, "edges")

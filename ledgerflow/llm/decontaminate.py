@@ -20,8 +20,26 @@ def words_of(text: Column) -> Column:
     return F.transform(words, lambda w: F.when(F.octet_length(w) == F.length(w), F.lower(w)).otherwise(ascii_lower(w)))
 
 
+def _joined(a: Column, b: Column, distance: int) -> Column:
+    """Hashes of a's values with b's ``distance`` places further on."""
+    n = F.greatest(F.size(b) - distance, F.lit(0))
+    return F.zip_with(F.slice(a, 1, n), F.slice(b, distance + 1, n), lambda x, y: F.xxhash64(x, y))
+
+
 def _window_hashes(words: Column, length: int) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(words) - (length - 1)), lambda i: F.xxhash64(F.slice(words, i, length)))
+    """Hash of each window of ``length`` words: words are hashed once, then runs of 1, 2, 4, 8 of them, each from two shorter ones."""
+
+    def put_together(runs: list[Column]) -> Column:
+        if 2 << (len(runs) - 1) <= length:
+            half = 1 << (len(runs) - 1)
+            return bound(_joined(runs[-1], runs[-1], half), lambda run: put_together([*runs, run]))
+        out, done = runs[-1], 1 << (len(runs) - 1)
+        for k in range(len(runs) - 2, -1, -1):
+            if (length - done) >> k & 1:
+                out, done = _joined(out, runs[k], done), done + (1 << k)
+        return out
+
+    return bound(F.transform(words, lambda w: F.xxhash64(w)), lambda hashes: put_together([hashes]))
 
 
 def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
@@ -29,8 +47,9 @@ def benchmark_windows(benchmark: DataFrame, id_col: str = "item_id", text_col: s
     items = benchmark.select(F.col(id_col).cast("string").alias("item"), words_of(F.col(text_col).cast("string")).alias("words")).where(F.size("words") > 0)
     n = F.least(F.size("words"), F.lit(WINDOW))
     windows = items.select("item", F.explode(F.transform(F.sequence(F.lit(1), F.size("words") - n + 1), lambda i: F.slice("words", i, n))).alias("w"))
+    code = F.coalesce(*(F.when(F.size("w") == k, F.get(_window_hashes(F.col("w"), k), 0)) for k in range(1, WINDOW + 1)))
     return windows.groupBy("w").agg(F.collect_set("item").alias("items"), F.bool_or(F.col("item").isNull()).alias("unnamed")).select(
-        F.xxhash64("w").alias("h"), F.size("w").alias("n"), "w", "items", "unnamed")
+        code.alias("h"), F.size("w").alias("n"), "w", "items", "unnamed")
 
 
 def _hashes(words: Column, n: int) -> Column:
@@ -49,7 +68,9 @@ def _hits(rows: DataFrame, windows: DataFrame, lengths: list[int]) -> DataFrame:
     for n in lengths:  # a place in the array of hashes tells length and position
         pos, length = F.when(F.col("at") >= start, F.col("at") - start + 1).otherwise(pos), F.when(F.col("at") >= start, n).otherwise(length)
         start = start + F.greatest(F.size("words") - n + 1, F.lit(0))
-    same = (F.col("code") == F.col("h")) & (length == F.col("n")) & (F.slice("words", F.greatest(pos, F.lit(1)), length) == F.col("w"))
+    # coalesce keeps the words out of the join's key: a window is looked up by one long, and its words are compared where that meets
+    words_too = F.coalesce((length == F.col("n")) & (F.slice("words", F.greatest(pos, F.lit(1)), length) == F.col("w")), F.lit(False))
+    same = (F.col("code") == F.col("h")) & words_too
     return _spread(rows, lengths).join(F.broadcast(windows), same, "left").where("at = 0 or h is not null").select(
         "row", "doc_id", F.when(F.col("at") == 0, F.size("words")).alias("n_words"), F.when(F.col("at") > 0, F.struct(pos.alias("pos"), length.alias("len"))).alias("hit"), "items", "unnamed")
 

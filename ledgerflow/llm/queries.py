@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bloom_lm, decontaminate, html_text, language_id, line_dedup, piece_nbest, quality, simhash, token_count, training_order
@@ -56,9 +55,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the pipeline script, which is imported when it is asked for: it lies beside the package, not in it."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_training_order, op2_token_count, op3_language_id, op4_html_text, op5_bloom_lm, op6_decontaminate, op7_line_dedup, op8_quality, op9_piece_nbest, op10_simhash)
-    return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
+    own = (op1_training_order, op2_token_count, op3_language_id, op4_html_text, op5_bloom_lm, op6_decontaminate, op7_line_dedup, op8_quality, op9_piece_nbest, op10_simhash, pipeline)
+    return {f.__name__: f for f in own}
 
 
 #: Every window of every item, at its place in the documents.
@@ -81,4 +87,4 @@ FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN ids USING (doc_id)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL} | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
+    return {"op6_decontaminate": OP6_SQL}

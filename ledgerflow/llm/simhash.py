@@ -55,11 +55,10 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, bits: int, budget: int) -
     ``values`` is sorted within each group; ``starts`` are the groups' offsets and the end. Each
     group is a binary trie whose nodes are ranges of the sorted array. Pairs of nodes of one depth
     are traversed together; a pair whose paths differ in more than ``budget`` bits is pruned, and a
-    pair of single values is settled by counting the bits that remain.
+    pair of single values is settled by counting the bits that remain. The group's number above the
+    value's bits makes one sorted array of all groups, in which a node's halves are found by search.
     """
-    ones = np.zeros((bits, len(values) + 1), np.int32)
-    for depth in range(bits):
-        np.cumsum((values >> np.uint64(bits - 1 - depth)) & np.uint64(1), out=ones[depth, 1:])
+    keys = values | np.repeat(np.arange(len(starts) - 1, dtype=np.uint64), np.diff(starts)) << np.uint64(bits)
     lo, hi = starts[:-1].astype(np.int64), starts[1:].astype(np.int64)
     many = hi - lo > 1
     lo, hi = lo[many], hi[many]
@@ -79,8 +78,9 @@ def trie_pairs(values: np.ndarray, starts: np.ndarray, bits: int, budget: int) -
             al, ah, bl, bh, diff = (x[~single] for x in (al, ah, bl, bh, diff))
         if not len(al) or depth == bits:
             continue
-        count = ones[depth]
-        am, bm, same = ah - (count[ah] - count[al]), bh - (count[bh] - count[bl]), al == bl
+        bit = np.uint64(1 << (bits - 1 - depth))
+        middle = lambda low, bit=bit: np.searchsorted(keys, (keys[low] & ~(bit * np.uint64(2) - np.uint64(1))) | bit)
+        am, bm, same = middle(al), middle(bl), al == bl
         parts = [(al, am, bl, bm, diff), (am, ah, bm, bh, diff), (al, am, bm, bh, diff + 1)]
         parts.append(tuple(x[~same] for x in (am, ah, bl, bm, diff + 1)))
         al, ah, bl, bh, diff = (np.concatenate(x) for x in zip(*parts, strict=True))
@@ -134,8 +134,7 @@ def _bucketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Edges (fingerprint, smallest linked fingerprint of the bucket) of rows sorted by bucket; carries the open bucket over."""
-    empty = np.empty(0, np.int64)
-    held = (empty, empty)
+    held: list[tuple[np.ndarray, np.ndarray]] = []  # parts of the open bucket, put together once it ends
 
     def joined(buckets: np.ndarray, signed: np.ndarray) -> Iterator[pa.RecordBatch]:
         same = np.flatnonzero(np.diff(buckets) == 0)
@@ -157,14 +156,24 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         linked = np.flatnonzero(forest.low != np.arange(len(buckets)))
         yield pa.RecordBatch.from_arrays([pa.array(signed[linked]), pa.array(signed[forest.low[linked]])], ["a", "b"])
 
+    def whole() -> tuple[np.ndarray, np.ndarray]:
+        return tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
     for batch in batches:
-        buckets = np.concatenate([held[0], batch.column("bucket").to_numpy(zero_copy_only=False)])
-        signed = np.concatenate([held[1], batch.column("fingerprint").to_numpy(zero_copy_only=False)])
-        if len(buckets):
-            last = np.searchsorted(buckets, buckets[-1])
-            held = (buckets[last:], signed[last:])
-            yield from joined(buckets[:last], signed[:last])
-    yield from joined(*held)
+        buckets, signed = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "fingerprint"))
+        if not len(buckets):
+            continue
+        first = int(np.searchsorted(buckets, held[0][0][0], side="right")) if held else 0
+        if first:
+            held.append((buckets[:first], signed[:first]))
+        if first < len(buckets):
+            if held:
+                yield from joined(*whole())
+            last = int(np.searchsorted(buckets, buckets[-1]))
+            yield from joined(buckets[first:last], signed[first:last])
+            held = [(buckets[last:], signed[last:])]
+    if held:
+        yield from joined(*whole())
 
 
 def _labels(marked: DataFrame) -> DataFrame:
