@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import documents, stored
+from .common import bound, documents, stored
 from .components import connected_components
 
 SHINGLE = 8
@@ -372,7 +372,9 @@ def drop_repeated_lines(docs: DataFrame, all_lines: bool = False) -> DataFrame:
     dropped = dropped.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "lines")
     hits = docs["doc_id"].cast("long").eqNullSafe(dropped["of_doc"]) & (F.xxhash64(docs["text"].cast("string")) == dropped["of_text"])
     names = docs.columns
-    left = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.col("lines"), i))
+    # numbers that stay are a set difference, in proportion to a text's lines however many of them go
+    stay = lambda split: F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "lines"), lambda i: F.get(split, i))
+    left = bound(F.split("text", "\n"), stay)
     joined = docs.join(dropped, hits, "left").withColumn("left_lines", F.when(F.col("lines").isNotNull(), left))
     joined = joined.where("left_lines is null or exists(left_lines, x -> trim(x) <> '')")
     text = F.when(F.col("left_lines").isNull(), F.col("text")).otherwise(F.array_join("left_lines", "\n"))

@@ -399,6 +399,33 @@ def test_line_classes(spark, nothing, block, monkeypatch):
     assert line_dedup.dedup_lines(nothing).count() == 0
 
 
+def test_candidates_of_scattered_edits():
+    """Pairs at a similarity of 0.8 to 0.83 whose edits lie all over the line: the share that no band brings together is small."""
+    rng = random.Random(41)
+    ones, others = [], []
+    while len(ones) < 1500:
+        one = list(prose(rng, 60, 5000))
+        other = one[:]
+        for at in rng.sample(range(len(one)), len(one) // 85 + 1):
+            other[at] = rng.choice("qrstuvwxyz")
+        a, b = "".join(one), "".join(other)
+        if 0.8 <= line_dedup.jaccard(a, b) < 0.83:
+            ones.append(a)
+            others.append(b)
+    missed = ~(line_dedup.band_keys(ones) == line_dedup.band_keys(others)).any(axis=1)
+    assert missed.mean() < 0.01
+
+
+def test_long_text_loses_many_lines(spark):
+    """A text of very many lines, all but a few of which an earlier one has."""
+    lines = [f"this is line number {i} of a long text {i * 7919}" for i in range(20_000)]
+    docs = documents(spark, [(1, "\n".join(lines)), (2, "\n".join([lines[5], "a line of its own", *lines, "and one more of its own"]))])
+    began = time.time()
+    found = {r.doc_id: r.text for r in line_dedup.drop_repeated_lines(docs, all_lines=True).collect()}
+    assert time.time() - began < 120
+    assert found[2].startswith("a line of its own") and found[2].endswith("and one more of its own") and found[2].count("\n") < 200 and len(found[1].split("\n")) > 100
+
+
 def test_bucket_is_compared_in_full():
     rng = random.Random(37)
     base = [prose(rng, 40, 500) for _ in range(4)]
