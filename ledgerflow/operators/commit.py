@@ -44,6 +44,13 @@ def committed_marks(updates: DataFrame) -> DataFrame:
     return updates.select("shard_id", "seq", F.max("value").over(w).alias("commit"), (F.col("value") > F.col("last_idx")).alias("beyond_log"))
 
 
+def mark_faults(updates: DataFrame) -> DataFrame:
+    """Updates whose marks are out of order: applied <= processed <= commit must hold, and none may fall."""
+    order = Window.partitionBy("shard_id").orderBy("seq")
+    fault = F.when(F.col("applied") > F.col("processed"), "applied_beyond_processed").when(F.col("processed") > F.col("commit"), "processed_beyond_commit").when(F.lag("applied").over(order) > F.col("applied"), "applied_fell")
+    return updates.select("shard_id", "seq", fault.alias("fault")).where("fault is not null")
+
+
 def progress_marks(acks: DataFrame) -> DataFrame:
     """match and next of each follower after each acknowledgement; neither falls."""
     w = Window.partitionBy("shard_id", "replica_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)

@@ -28,6 +28,11 @@ def conflict_index(log: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(log.select("shard_id", "idx", "term"), ["shard_id", "idx", "term"], "left_anti").groupBy("shard_id").agg(F.min("idx").alias("conflict_idx"))
 
 
+def append_faults(conflicts: DataFrame, commits: DataFrame) -> DataFrame:
+    """Conflicts at or below what is committed: such entries must not be overwritten."""
+    return conflicts.join(commits, "shard_id").where("conflict_idx <= commit")
+
+
 def overlay_extents(extents: DataFrame) -> DataFrame:
     """Index extents (shard_id, seq, start, end, file) after overlays; neighbours in one file are one extent."""
     later = Window.partitionBy("shard_id").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)

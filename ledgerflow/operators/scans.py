@@ -78,6 +78,23 @@ def batches(log: DataFrame) -> DataFrame:
     return log.groupBy("shard_id", batch_id(F.col("idx")).alias("batch_id")).agg(F.count("*").alias("n"), F.min("idx").alias("first_idx"), F.max("idx").alias("last_idx"), F.sum(entry_size()).alias("bytes"))
 
 
+def node_infos(progress: DataFrame) -> DataFrame:
+    """Replicas that are known of."""
+    return progress.select("shard_id", "replica_id").distinct()
+
+
+def newest_snapshots(snapshots: DataFrame) -> DataFrame:
+    """The newest snapshot record of each shard, or of each replica where the records name one."""
+    keys = [c for c in ("shard_id", "replica_id") if c in snapshots.columns]
+    rest = [c for c in snapshots.columns if c not in (*keys, "idx")]
+    return snapshots.groupBy(*keys).agg(F.max("idx").alias("_newest"), F.max_by(F.struct(*rest), "idx").alias("_x")).select(*keys, F.col("_newest").alias("idx"), *(F.col(f"_x.{c}").alias(c) for c in rest))
+
+
+def compacted(log: DataFrame, low_water: DataFrame) -> DataFrame:
+    """The log without what lies at or below each shard's low-water mark."""
+    return log.join(low_water, "shard_id").where("idx > low_water").drop("low_water")
+
+
 def raft_state(log: DataFrame, snapshots: DataFrame) -> DataFrame:
     """First index and entry count of each shard's tail after its newest snapshot."""
     newest = snapshots.groupBy("shard_id").agg(F.max("idx").alias("snapshot_idx"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import commit, membership, overwrite, scans, sessions
+from ..operators import commit, membership, messages, overwrite, scans, sessions
 from ..sources.tables import LOG_SQL, PROGRESS_SQL, events_log, events_progress, read, read_log, shared_folder, write_log
 from ..streaming import queries as streaming
 
@@ -122,13 +122,12 @@ def raft_state(log, table):
 
 @query("SELECT DISTINCT shard_id, replica_id FROM progress")
 def node_info(log, table):
-    return events_progress(log).select("shard_id", "replica_id").distinct()
+    return scans.node_infos(events_progress(log))
 
 
 @query(""", s AS (SELECT shard_id, idx, term, idx * 10 AS size FROM log WHERE k = 'purchase') SELECT shard_id, max(idx) AS idx, arg_max(term, idx) AS term, arg_max(size, idx) AS size FROM s GROUP BY 1""")
 def newest_snapshot(log, table):
-    snapshots = log.where("k = 'purchase'").select("shard_id", "idx", "term", (F.col("idx") * 10).alias("size"))
-    return snapshots.groupBy("shard_id").agg(F.max("idx").alias("newest"), F.max_by(F.struct("term", "size"), "idx").alias("x")).select("shard_id", F.col("newest").alias("idx"), "x.term", "x.size")
+    return scans.newest_snapshots(log.where("k = 'purchase'").select("shard_id", "idx", "term", (F.col("idx") * 10).alias("size")))
 
 
 @query(f""", {HALF} SELECT shard_id, idx, CASE WHEN idx > commit THEN term + 1 ELSE term END AS term, CASE WHEN idx > commit THEN 1 ELSE 0 END AS tail FROM log JOIN half USING (shard_id)""")
@@ -166,8 +165,7 @@ def entry_kinds(log, table):
 
 @query("SELECT shard_id, idx, CASE WHEN type = 'ConfigChange' THEN type ELSE 'Metadata' END AS type, term, CASE WHEN type = 'ConfigChange' THEN key ELSE 0 END AS key FROM log")
 def witness_entries(log, table):
-    whole = scalars.is_config_change()
-    return log.select("shard_id", "idx", F.when(whole, F.col("type")).otherwise("Metadata").alias("type"), "term", F.when(whole, F.col("key")).otherwise(0).alias("key"))
+    return messages.witness_entries(log)
 
 
 @query("""SELECT a.shard_id, a.idx, b.idx AS other, (a.term > b.term OR (a.term = b.term AND a.idx >= b.idx)) AS up_to_date, (a.key % 3 = 0 OR a.key % 3 = b.key % 3 OR a.term > b.term) AS can_grant
@@ -355,8 +353,7 @@ def membership_fold(log, table):
 
 @query("""SELECT shard_id, count(*) FILTER (k = 'click') AS click, count(*) FILTER (k = 'purchase') AS purchase, count(*) FILTER (k = 'view') AS view, max(term) AS term, arg_max(client_id, idx) AS last_client FROM log GROUP BY 1""")
 def event_metrics(log, table):
-    kinds = log.groupBy("shard_id").pivot("k", ["click", "purchase", "view"]).count().na.fill(0)
-    return kinds.join(log.groupBy("shard_id").agg(F.max("term").alias("term"), F.max_by("client_id", "idx").alias("last_client")), "shard_id")
+    return messages.event_metrics(log, ["click", "purchase", "view"])
 
 
 @query("""SELECT user_id AS shard_id, min(ts) AS first_ts, max(ts) AS last_ts, count(*) AS n FROM (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS part
@@ -389,17 +386,14 @@ def scalar_rules(log, table):
 
 @query("""SELECT shard_id, idx, c AS chunk_id, (size + 63) // 64 AS chunk_count, least(64, size - c * 64) AS bytes FROM (SELECT shard_id, idx, cmd_len * 3 + 10 AS size FROM log), unnest(range((size + 63) // 64)) AS t(c)""")
 def snapshot_chunks(log, table):
-    rows = log.select("shard_id", "idx", (F.col("cmd_len") * 3 + 10).alias("size"))
-    count = F.floor((F.col("size") + 63) / 64)
-    return rows.select("shard_id", "idx", "size", count.alias("chunk_count"), F.explode(F.sequence(F.lit(0).cast("long"), count - 1)).alias("chunk_id")).select(
-        "shard_id", "idx", "chunk_id", "chunk_count", F.least(F.lit(64).cast("long"), F.col("size") - F.col("chunk_id") * 64).alias("bytes"))
+    rows = log.select("shard_id", "idx", F.lit(0).alias("file_id"), (F.col("cmd_len") * 3 + 10).alias("size"))
+    return messages.snapshot_chunks(rows, 64).select("shard_id", "idx", "chunk_id", "chunk_count", "bytes")
 
 
 @query("""SELECT p.shard_id, p.replica_id, p.match + 1 AS next, CASE WHEN p.match + 1 < 50 THEN 'snapshot' ELSE 'replicate' END AS send, coalesce(l.term, 0) AS prev_term, least(p.match, 900) AS heartbeat_commit
   FROM progress p LEFT JOIN log l ON l.shard_id = p.shard_id AND l.idx = p.match""")
 def replicate_messages(log, table):
-    rows = events_progress(log).join(log.select("shard_id", F.col("idx").alias("match"), "term"), ["shard_id", "match"], "left")
-    return rows.select("shard_id", "replica_id", (F.col("match") + 1).alias("next"), F.when(F.col("match") + 1 < 50, "snapshot").otherwise("replicate").alias("send"), F.coalesce("term", F.lit(0)).alias("prev_term"), F.least("match", F.lit(900).cast("long")).alias("heartbeat_commit"))
+    return messages.replicate_heads(events_progress(log), log, 50, 900)
 
 
 @query("SELECT p.key FROM log p ANTI JOIN (SELECT DISTINCT client_id, term FROM log WHERE k = 'purchase') l USING (client_id, term) WHERE p.type <> 'ConfigChange'")

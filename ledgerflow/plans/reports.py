@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import commit, membership, overwrite, reads, scans, sessions
+from ..operators import commit, membership, messages, overwrite, reads, scans, sessions
 from ..sources.tables import events_progress, read_log, shared_folder, write_log
 from .catalog import HALF, _half, query
 
@@ -270,3 +270,41 @@ def stored_shard_scan(log, table):
     path = shared_folder(log.sparkSession, "stored_log")
     write_log(log.select("shard_id", "idx", "term", "key"), path)
     return read_log(log.sparkSession, path, shard_id=5).where("idx between 20 and 4000").select("idx", "term", "key")
+
+
+@query("""SELECT shard_id, idx, file_id, c AS file_chunk_id, n AS file_chunk_count, before + c AS chunk_id, total AS chunk_count, least(64, size - c * 64) AS bytes FROM (
+  SELECT *, coalesce(sum(n) OVER (PARTITION BY shard_id, idx ORDER BY file_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS before, (sum(n) OVER (PARTITION BY shard_id, idx))::BIGINT AS total FROM (
+    SELECT shard_id, idx, f::BIGINT AS file_id, cmd_len * (f + 1) AS size, greatest((cmd_len * (f + 1) + 63) // 64, 1) AS n FROM log, range(3) AS t(f))), unnest(range(n)) AS u(c)""")
+def snapshot_file_chunks(log, table):
+    files = log.select("shard_id", "idx", "cmd_len", F.explode(F.array(*(F.lit(f).cast("long") for f in range(3)))).alias("file_id"))
+    return messages.snapshot_chunks(files.select("shard_id", "idx", "file_id", (F.col("cmd_len") * (F.col("file_id") + 1)).alias("size")), 64)
+
+
+@query("SELECT shard_id, idx, term, 0::BIGINT AS chunk_id, 1::BIGINT AS chunk_count, 0::BIGINT AS bytes, true AS witness FROM log WHERE k = 'purchase'")
+def witness_chunks(log, table):
+    return messages.witness_chunks(log.where("k = 'purchase'"))
+
+
+@query("""SELECT shard_id, replica_id, idx, term FROM (SELECT log.shard_id, replica_id, idx, term, match, sum(cmd_len + 24) OVER (PARTITION BY log.shard_id, replica_id ORDER BY idx) AS seen
+  FROM log JOIN (SELECT shard_id, replica_id, match // 2 AS match FROM progress) p ON p.shard_id = log.shard_id AND idx > match) WHERE seen <= 2000 OR idx = match + 1""")
+def replicate_pages(log, table):
+    progress = events_progress(log).withColumn("match", F.call_function("div", F.col("match"), F.lit(2)))
+    return messages.replicate_pages(progress, log, 2000)
+
+
+@query(f""", {HALF} SELECT shard_id, idx, term, key FROM log JOIN half USING (shard_id) WHERE idx > commit""")
+def compacted_log(log, table):
+    return scans.compacted(log, _half(log).withColumnRenamed("commit", "low_water")).select("shard_id", "idx", "term", "key")
+
+
+@query("""SELECT shard_id, seq, CASE WHEN a > p THEN 'applied_beyond_processed' WHEN p > c THEN 'processed_beyond_commit' WHEN before > a THEN 'applied_fell' END AS fault FROM (
+  SELECT *, lag(a) OVER (PARTITION BY shard_id ORDER BY seq) AS before FROM (SELECT shard_id, idx AS seq, idx - key % 3 AS a, idx - key % 2 AS p, idx + key % 5 - 1 AS c FROM log)) WHERE fault IS NOT NULL""")
+def mark_faults(log, table):
+    idx, key = F.col("idx"), F.col("key")
+    return commit.mark_faults(log.select("shard_id", idx.alias("seq"), (idx - key % 3).alias("applied"), (idx - key % 2).alias("processed"), (idx + key % 5 - 1).alias("commit")))
+
+
+@query(f""", {HALF} SELECT shard_id, conflict_idx, commit FROM (SELECT shard_id, min(idx) AS conflict_idx FROM log WHERE idx >= 40 * (shard_id + 1) GROUP BY 1) JOIN half USING (shard_id) WHERE conflict_idx <= commit""")
+def append_faults(log, table):
+    incoming = log.select("shard_id", "idx", F.when(F.col("idx") >= 40 * (F.col("shard_id") + 1), F.col("term") + 1).otherwise(F.col("term")).alias("term"))
+    return overwrite.append_faults(overwrite.conflict_index(log, incoming), _half(log))
