@@ -1,15 +1,7 @@
-"""Table schemas of the log engine. Zero means unset in ids, terms and indexes; it is never null."""
+"""Fixed values of the log engine. Zero means unset in ids, terms and indexes; it is never null."""
 
 from __future__ import annotations
 
-LOG = "shard_id long, replica_id long, term long, idx long, type string, key long, client_id long, series_id long, responded_to long, cmd_len long, k string, v double"
-STATE = "shard_id long, replica_id long, term long, vote long, commit long"
-PROGRESS = "shard_id long, replica_id long, role string, match long, active boolean"
-SNAPSHOT = "shard_id long, replica_id long, idx long, term long, size long"
-CONFIG_CHANGE = "shard_id long, idx long, config_change_id long, type string, replica_id long, address string, initialize boolean"
-CHUNK = "shard_id long, replica_id long, sender long, chunk_id long, chunk_count long, seq long, data string"
-RESULT_CODES = ("timeout", "completed", "terminated", "rejected", "dropped", "aborted", "committed")
-
 # Entries of one stored batch, sessions a shard keeps, bytes of a snapshot chunk.
 BATCH_SIZE = 48
 MAX_SESSIONS = 4096

@@ -4,7 +4,6 @@ import random
 import time
 
 import duckdb
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
