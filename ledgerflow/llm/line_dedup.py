@@ -18,7 +18,7 @@ SHINGLE = 8
 SIMILARITY = 0.8
 #: 12 bands of 4: a pair of similarity 0.8 shares a band with probability 0.998, one of 0.9 with 0.99999.
 BANDS, ROWS = 12, 4
-#: Lines of fewer words are left alone unless all lines are wanted: headings and short phrases repeat without being copies.
+#: Lines of fewer words are left alone where not all lines are wanted: headings and short phrases repeat without being copies.
 MIN_WORDS = 5
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
@@ -178,7 +178,7 @@ def _line_batch(ids: list, hashes: list, numbers: list[int], norms: list[str], a
         ["doc_id", "text_hash", "line_no", "norm", "key", "fit", "exact"])
 
 
-def lines_of(docs: DataFrame, all_lines: bool = False) -> DataFrame:
+def lines_of(docs: DataFrame, all_lines: bool = True) -> DataFrame:
     """(doc_id, text_hash, line_no, norm, key, fit, exact) of every line, written once; fit: long enough to be compared, exact: may equal another."""
     rows = documents(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     return stored(rows.mapInArrow(partial(_split, all_lines=all_lines), "doc_id long, text_hash long, line_no int, norm string, key long, fit boolean, exact boolean"), "lines")
@@ -336,16 +336,15 @@ def line_links(lines: DataFrame) -> DataFrame:
     return stored(now.join(above, now.component == above.of, "left").select("node", F.coalesce("root", "component").alias("component")), "line_groups")
 
 
-def dedup_lines(docs: DataFrame, all_lines: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, all_lines: bool = True) -> DataFrame:
     """(doc_id, text_hash, line_no, class_doc_id, class_line_no, kept) of every line of every document.
 
     Lines are compared in lower case with white space collapsed. Lines that are equal, or whose
     8-character shingles have a Jaccard similarity of 0.8 or more, are linked, and linked lines are a
-    class; its first line by (doc_id, line_no) is kept and names the class. Lines of fewer than five
-    words or eight characters, empty ones included, are always kept and are their own class; with
-    ``all_lines`` only empty ones are: every other line is in the class of its equals, and lines of
-    eight characters or more are compared, however few blanks they have. Equal
-    lines are one node (a 64-bit hash of the line), counted within each task before the shuffle.
+    class; its first line by (doc_id, line_no) is kept and names the class. Empty lines are always
+    kept and are their own class; every other line is in the class of its equals, and lines of eight
+    characters or more are compared, however few blanks they have. Without ``all_lines`` lines of
+    fewer than five words or eight characters are left alone like empty ones. Equal lines are one node (a 64-bit hash of the line), counted within each task before the shuffle.
 
     A null text has no lines, an empty one has one empty line. A null id comes after all others.
     Repeated rows share the place of their lines, so copies of one row under one id are treated
@@ -366,7 +365,7 @@ def dedup_lines(docs: DataFrame, all_lines: bool = False) -> DataFrame:
         (itself | F.col("doc_id").eqNullSafe(F.col("keep.doc_id")) & (F.col("line_no") == F.col("keep.line_no")) & (F.col("text_hash") == F.col("keep.text_hash"))).alias("kept"))
 
 
-def drop_repeated_lines(docs: DataFrame, all_lines: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, all_lines: bool = True) -> DataFrame:
     """``docs`` with the lines that are not kept taken out of their texts; a document that loses all its lines goes."""
     dropped = dedup_lines(docs, all_lines).where("not kept").groupBy("doc_id", "text_hash").agg(F.collect_set("line_no").alias("lines"))
     dropped = dropped.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "lines")

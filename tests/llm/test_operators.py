@@ -372,7 +372,7 @@ def test_line_classes(spark, nothing, block, monkeypatch):
     for _ in range(12):
         chain.append(near(chain[-1]))  # linked one by one, the ends are far apart
     rows += [(100 + i, line) for i, line in enumerate(chain)] + EDGES + [(5, "   \n\t")]
-    found = line_dedup.dedup_lines(documents(spark, rows).repartition(6)).collect()
+    found = line_dedup.dedup_lines(documents(spark, rows).repartition(6), all_lines=False).collect()
     places = [((i is None, i), k, line) for i, t in rows if t is not None for k, line in enumerate(t.split("\n"))]
     assert len(found) == len(places)
     norm = lambda x: " ".join(x.lower().split())
@@ -459,7 +459,7 @@ def test_bucket_is_compared_in_full():
 def test_texts_without_repeated_lines(spark):
     line = "these are enough words for one line of text"
     docs = documents(spark, [(1, line + "\nshort\n" + line), (2, line), (3, "other words that are no copy at all, none\n\n" + line.upper()), (4, None), (5, ""), (6, line + "\nshort")])
-    out = line_dedup.drop_repeated_lines(docs)
+    out = line_dedup.drop_repeated_lines(docs, all_lines=False)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: line + "\nshort", 3: "other words that are no copy at all, none\n", 4: None, 5: "", 6: "short"}
 
