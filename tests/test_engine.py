@@ -166,6 +166,32 @@ def test_membership_rules():
     assert not ordered.step(6, 4, "AddNode", 2, "b:1", False) and ordered.step(7, 5, "AddNode", 2, "b:1", False)
 
 
+def test_folds_equal_plain_loops(spark):
+    """Ordered folds over many shards, in batches of a few rows so that shards go on from batch to batch."""
+    rng = random.Random(9)
+    log, changes = [], []
+    for shard in range(12):
+        for idx in range(1, rng.randint(2, 60)):
+            log.append((shard, idx, rng.choice(["register", "update", "update", "unregister", "noop"]), rng.randint(1, 5), rng.randint(1, 6), rng.randint(0, 2), rng.randint(0, 9)))
+            changes.append((shard, idx, rng.randint(0, idx), rng.choice(["AddNode", "AddNonVoting", "AddWitness", "RemoveNode"]), rng.randint(1, 6), f"h{rng.randint(1, 6)}:1", idx < 3))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        found = sessions.fold_sessions(spark.createDataFrame(log, "shard_id long, idx long, kind string, client_id long, series_id long, responded_to long, cmd_len long").repartition(5), capacity=3).collect()
+        members = {o: membership.fold_changes(spark.createDataFrame(changes, "shard_id long, idx long, config_change_id long, type string, replica_id long, address string, initialize boolean").repartition(5), o).collect() for o in (False, True)}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    tables, wanted = {}, set()
+    for shard, idx, *row in log:
+        wanted.add((shard, idx, *tables.setdefault(shard, sessions.SessionTable(3)).step(*row)))
+    assert {tuple(r) for r in found} == wanted and {r.outcome for r in found} == {"applied", "cached", "ignored", "rejected"}
+    for ordered, rows in members.items():
+        state, wanted = {}, set()
+        for shard, idx, *row in changes:
+            m = state.setdefault(shard, membership.Members(ordered))
+            wanted.add((shard, idx, m.step(idx, *row), len(m.voters), len(m.non_voting), len(m.witnesses), len(m.removed)))
+        assert {tuple(r) for r in rows} == wanted and {r.accepted for r in rows} == {True, False}
+
+
 def test_views_model(spark):
     rng = random.Random(3)
     rows, want = [], {}
