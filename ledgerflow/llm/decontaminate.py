@@ -127,5 +127,6 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def remove_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are not contaminated, with their columns; each row is judged by its own text, whatever its id."""
     keyed = docs.select(row_key().alias("doc_id"), "text")
-    hits = find_contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias("hit")).distinct()
+    # written first, so that its size is known: a small set is broadcast, and the texts stay where they are
+    hits = stored(find_contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias("hit")).distinct(), "contaminated_rows")
     return docs.join(hits, row_key() == hits["hit"], "left_anti")

@@ -220,9 +220,12 @@ def keep_one(docs: DataFrame) -> DataFrame:
     rows = marked.groupBy("fingerprint", "doc_id", "row_key").agg(F.count("*").alias("n"))
     labels = _labels(marked)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key", "n")).alias("first")
-    kept = stored(rows.join(labels, rows.fingerprint == labels.leaf).groupBy("root").agg(first).select(F.col("first.row_key").alias("kept_key"), "first.n"), "kept_rows")
+    members = stored(rows.join(labels, rows.fingerprint == labels.leaf).select("root", "doc_id", "row_key", "n"), "component_rows")
+    kept = stored(members.groupBy("root").agg(first, F.sum("n").alias("size")).where("size > 1").select("root", F.col("first.row_key").alias("kept_key"), F.col("first.n").alias("n")), "kept_rows")
+    # what goes is written and small where copies are few: Spark then broadcasts it, and the texts stay where they are
+    gone = stored(members.join(kept.select("root", "kept_key", F.col("n").alias("kept_n")), "root").where("row_key <> kept_key or kept_n > 1").select(F.col("row_key").alias("gone_key")).distinct(), "dropped_rows")
     names = docs.columns
-    once = docs.join(kept.where("n = 1"), row_key() == kept["kept_key"], "left_semi")
+    once = docs.join(gone, row_key() == gone["gone_key"], "left_anti")
     if kept.where("n > 1").isEmpty():
         return once
     equal = docs.join(kept.where("n > 1"), row_key() == kept["kept_key"]).groupBy("kept_key").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("row"))
