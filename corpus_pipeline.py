@@ -20,13 +20,14 @@ def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     model = language_id.fit(docs.where(~language_id.held_out()))
     verdicts = language_id.identify(docs.select(row_key().alias("doc_id"), "text"), model)
     found = verdicts.where(none | (F.col("score") < LANGUAGE_SCORE)).groupBy(F.col("doc_id").alias("rejected")).agg(F.bool_or(none).alias("no_language"))
+    found = stored(found, "rejected")  # its size is known then: a small set is broadcast, and the texts stay where they are
     keyed = docs.withColumn("row_key", row_key())
     return keyed.join(found, (keyed["row_key"] == found["rejected"]) & (found["no_language"] | (F.length(keyed["text"]) >= SURE_CHARS)), "left_anti").drop("row_key")
 
 
 def lines_once(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier document or line has; a document with no line left goes."""
-    out = line_dedup.drop_repeated_lines(docs, all_lines=True)
+    out = line_dedup.drop_repeated_lines(docs)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in out.columns else out
 
 
