@@ -232,10 +232,13 @@ def snapshots_upto(log, table):
     return scans.snapshots_upto(log.where("k = 'purchase'").select("shard_id", "idx", "term"), _half(log).withColumnRenamed("commit", "upto"))
 
 
-@query("SELECT shard_id, client_id, max(responded_to) AS responded_to, count(*) AS n, max(series_id) AS newest FROM log GROUP BY 1, 2")
+@query("""SELECT shard_id, client_id, max(upto) AS responded_to, count(*) AS n, max(series_id) AS newest
+  FROM (SELECT shard_id, client_id, series_id, max(responded_to) OVER (PARTITION BY shard_id, client_id) AS upto FROM log) WHERE series_id > upto GROUP BY 1, 2""")
 def session_images(log, table):
-    """Sessions saved and recovered again, in the two versions of an image."""
-    rows = log.groupBy("shard_id", "client_id").agg(F.max("responded_to").alias("responded_to"), F.map_from_entries(F.collect_list(F.struct(F.col("series_id").cast("string"), F.col("cmd_len").alias("r")))).alias("old"))
+    """Sessions saved and recovered again, in the two versions of an image; a session holds the results that its client has not responded to."""
+    upto = log.groupBy("shard_id", "client_id").agg(F.max("responded_to").alias("responded_to"))
+    open_ = log.drop("responded_to").join(upto, ["shard_id", "client_id"]).where("series_id > responded_to")
+    rows = open_.groupBy("shard_id", "client_id").agg(F.max("responded_to").alias("responded_to"), F.map_from_entries(F.collect_list(F.struct(F.col("series_id").cast("string"), F.col("cmd_len").alias("r")))).alias("old"))
     new = F.transform_values("old", lambda k, v: F.struct(v.alias("value"), F.lit("x").alias("data")))
     images = sessions.save_sessions(rows.withColumnRenamed("old", "history").where("client_id % 2 = 0")).unionByName(sessions.save_sessions(rows.withColumn("history", new).drop("old").where("client_id % 2 = 1")))
     return sessions.recover_sessions(images).select("shard_id", "client_id", "responded_to", F.size("history").cast("long").alias("n"), F.array_max(F.transform(F.map_keys("history"), lambda k: k.cast("long"))).alias("newest"))
