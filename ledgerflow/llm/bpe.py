@@ -10,8 +10,8 @@ import pyarrow as pa
 #: White space of Unicode, as the tokenizers' split pattern has it.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(map(chr, range(0x2000, 0x200B)))
 #: Longest piece that is kept, different pieces that are kept, characters worked on together.
-LONGEST, ROOM, TOGETHER = 64, 1_000_000, 1 << 18
-SLOT_BITS = 21
+LONGEST, ROOM, TOGETHER = 64, 500_000, 1 << 18
+SLOT_BITS = 20
 _ODD = 0x9E3779B97F4A7C15
 
 
@@ -42,8 +42,8 @@ class PieceTable:
     """Token ids of the pieces that texts fall into, each different piece worked out once a worker.
 
     Texts are cut between characters whose kinds say so, all at once. The pieces' ids are kept in a
-    table by a 64-bit hash of the characters (random multipliers, so two of a million pieces meet
-    with probability 3e-8); new pieces and those longer than ``LONGEST`` go to ``solve``, which gives
+    table by a 64-bit hash of the characters (random multipliers, so two of half a million pieces meet
+    with probability 7e-9); new pieces and those longer than ``LONGEST`` go to ``solve``, which gives
     the ids and further numbers of each. What the table holds is bounded: it starts anew when full.
     """
 
@@ -59,7 +59,7 @@ class PieceTable:
         self.slot = np.zeros(1 << SLOT_BITS, np.int32)  # 0: free, else the piece's row
         self.key, self.start, self.size = np.zeros(ROOM, np.uint64), np.zeros(ROOM, np.int64), np.zeros(ROOM, np.int32)
         self.numbers = np.zeros((ROOM, self.more))
-        self.rows, self.flat, self.used = 1, np.zeros(1 << 20, np.int32), 0
+        self.rows, self.flat, self.used = 1, np.zeros(1 << 19, np.int32), 0
         self.kept = self.rows, self.used
 
     def _add(self, pieces: list[str]) -> np.ndarray:
@@ -169,7 +169,7 @@ class Encoder(PieceTable):
         return ids, sums[edges]
 
 
-def portions(batch: pa.RecordBatch, column: str = "text", most: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
+def portions(batch: pa.RecordBatch, column: str = "text", most: int = 300_000) -> Iterator[tuple[int, list[str]]]:
     """(first row, texts) of a batch in parts of about ``most`` characters; null is the empty text."""
     at = 0
     while at < batch.num_rows:

@@ -20,7 +20,7 @@ from .common import documents
 SPACE = "▁"
 NBEST = 4
 #: Characters of the texts that a task works on together, and segments whose n best a worker keeps.
-TOGETHER, SEARCHED = 1_000_000, 100_000
+TOGETHER, SEARCHED = 300_000, 10_000
 #: Arrow types of the columns of a result; a text without pieces has sums that are whole numbers to Python.
 TYPES = {
     "n_pieces": pa.int64(), "score": pa.float64(), "nbest_scores": pa.list_(pa.float64()), "nbest_sizes": pa.list_(pa.int64()), "ids_sha256": pa.string(), "round_trip": pa.bool_(),
